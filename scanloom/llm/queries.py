@@ -1,0 +1,73 @@
+"""The queries of the dealt problems, each over its whole tables, and the SQL of those that SQL can say."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scanloom.sources.tables import table
+
+
+def _kind(name: str = "vultype"):
+    """A kind of finding as the problems compare it: without spaces at both ends, in lower case, null if empty."""
+    kind = F.lower(F.trim(F.col(name)))
+    return F.when(kind != "", kind)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings among the first 5 of their task and kind by complexity."""
+    from scanloom.llm.topn import top_n_per_group
+
+    rows = table(spark, sf_dir, "vulfile").select("id", "taskid", _kind().alias("kind"), "max_ccn", "avgccn")
+    return top_n_per_group(rows, ["taskid", "kind"], [("max_ccn", True), ("avgccn", True)], "id", 5).select("id").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every source_code longer than 2000 characters."""
+    from scanloom.llm.pieces import split_oversized
+
+    return split_oversized(table(spark, sf_dir, "vulfile"), "id", "source_code")
+
+
+def p5_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts cut by recursive bisection."""
+    from scanloom.llm.pieces import split_oversized
+
+    return split_oversized(table(spark, sf_dir, "vulfile"), "id", "source_code", method="bisect")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p5_found": p5_found,
+    "p5_bisect": p5_bisect,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": """
+        WITH once AS (
+            SELECT id, taskid, lower(trim(vultype)) AS kind, max(max_ccn) AS m, max(CASE WHEN isnan(avgccn) THEN NULL ELSE avgccn END) AS a
+            FROM vulfile WHERE taskid IS NOT NULL AND trim(vultype) <> '' GROUP BY ALL),
+        ranked AS (SELECT id, row_number() OVER (PARTITION BY taskid, kind ORDER BY m DESC NULLS LAST, a DESC NULLS LAST, id) AS r FROM once)
+        SELECT DISTINCT id FROM ranked WHERE r <= 5""",
+    "p5_found": r"""
+        WITH RECURSIVE src AS (SELECT DISTINCT id, source_code AS t, length(source_code) AS n FROM vulfile WHERE length(source_code) > 2000),
+        piece AS (
+            SELECT id, t, n, 1 AS piece_no, 0 AS start_pos,
+                CASE WHEN n <= 2000 THEN n ELSE coalesce(
+                    nullif(length(regexp_extract(left(t, 2000), '^((?s:.*)\n[ \t\r]*\n)', 1)) * (length(regexp_extract(left(t, 2000), '^((?s:.*)\n[ \t\r]*\n)', 1)) > 1000)::INT, 0),
+                    nullif(length(regexp_extract(left(t, 2000), '^((?s:.*)\n)', 1)) * (length(regexp_extract(left(t, 2000), '^((?s:.*)\n)', 1)) > 1000)::INT, 0),
+                    nullif(length(regexp_extract(left(t, 2000), '^((?s:.*)[ \t])', 1)) * (length(regexp_extract(left(t, 2000), '^((?s:.*)[ \t])', 1)) > 1000)::INT, 0),
+                    2000) END AS end_pos
+            FROM src
+            UNION ALL
+            SELECT id, t, n, piece_no + 1, s,
+                CASE WHEN n - s <= 2000 THEN n ELSE coalesce(
+                    nullif(length(regexp_extract(left(t, s + 2000), '^((?s:.*)\n[ \t\r]*\n)', 1)) * (length(regexp_extract(left(t, s + 2000), '^((?s:.*)\n[ \t\r]*\n)', 1)) > s + 1000)::INT, 0),
+                    nullif(length(regexp_extract(left(t, s + 2000), '^((?s:.*)\n)', 1)) * (length(regexp_extract(left(t, s + 2000), '^((?s:.*)\n)', 1)) > s + 1000)::INT, 0),
+                    nullif(length(regexp_extract(left(t, s + 2000), '^((?s:.*)[ \t])', 1)) * (length(regexp_extract(left(t, s + 2000), '^((?s:.*)[ \t])', 1)) > s + 1000)::INT, 0),
+                    s + 2000) END
+            FROM (SELECT *, end_pos - 200 AS s FROM piece WHERE end_pos < n))
+        SELECT id, piece_no::INT AS piece_no, start_pos::INT AS start_pos, end_pos::INT AS end_pos FROM piece""",
+}
