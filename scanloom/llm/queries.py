@@ -24,6 +24,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(rows, ["taskid", "kind"], [("max_ccn", True), ("avgccn", True)], "id", 5).select("id").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of findings of one kind whose source_code is nearly the same."""
+    from scanloom.llm.neardup import near_duplicate_pairs
+
+    pairs = near_duplicate_pairs(table(spark, sf_dir, "vulfile"), "id", "source_code", _kind(), threshold=0.6, width=3, min_tokens=30)
+    return pairs.select("id_a", "id_b")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every source_code longer than 2000 characters."""
     from scanloom.llm.pieces import split_oversized
@@ -40,6 +48,7 @@ def p5_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_bisect": p5_bisect,
 }
@@ -51,6 +60,17 @@ ORACLE_SQL: dict[str, str] = {
             FROM vulfile WHERE taskid IS NOT NULL AND trim(vultype) <> '' GROUP BY ALL),
         ranked AS (SELECT id, row_number() OVER (PARTITION BY taskid, kind ORDER BY m DESC NULLS LAST, a DESC NULLS LAST, id) AS r FROM once)
         SELECT DISTINCT id FROM ranked WHERE r <= 5""",
+    "p2_found": r"""
+        WITH once AS (
+            SELECT DISTINCT id, lower(trim(vultype)) AS kind, regexp_extract_all(source_code, '[A-Za-z0-9_]+') AS t
+            FROM vulfile WHERE trim(vultype) <> '' AND source_code IS NOT NULL),
+        runs AS (
+            SELECT DISTINCT id, kind, lower(t[i]) AS a, lower(t[i + 1]) AS b, lower(t[i + 2]) AS c
+            FROM (SELECT id, kind, t, unnest(range(1, len(t) - 1)) AS i FROM once WHERE len(t) >= 30)),
+        sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+        met AS (
+            SELECT x.id AS id_a, y.id AS id_b, count(*) AS n FROM runs x JOIN runs y USING (kind, a, b, c) WHERE x.id < y.id GROUP BY ALL)
+        SELECT id_a, id_b FROM met JOIN sizes p ON p.id = id_a JOIN sizes q ON q.id = id_b WHERE met.n >= 0.6 * (p.n + q.n - met.n)""",
     "p5_found": r"""
         WITH RECURSIVE src AS (SELECT DISTINCT id, source_code AS t, length(source_code) AS n FROM vulfile WHERE length(source_code) > 2000),
         piece AS (
