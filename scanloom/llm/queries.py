@@ -32,6 +32,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id_a", "id_b")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every credential's place in source_code."""
+    from scanloom.llm.credentials import find_credentials
+
+    return find_credentials(table(spark, sf_dir, "vulfile"), "id", "source_code", "filename")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding's source_code with its credentials blanked and all else in place."""
+    from scanloom.llm.credentials import redacted
+
+    rows = table(spark, sf_dir, "vulfile").select("id", "source_code", "filename")
+    return rows.select("id", redacted(F.col("source_code"), F.col("filename")).alias("source_code"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every source_code longer than 2000 characters."""
     from scanloom.llm.pieces import split_oversized
@@ -49,6 +64,8 @@ def p5_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_bisect": p5_bisect,
 }
