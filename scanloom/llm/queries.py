@@ -61,6 +61,31 @@ def p5_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "vulfile"), "id", "source_code", method="bisect")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as ids of byte_bpe_50k."""
+    from scanloom.llm.encode import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from scanloom.llm.encode import count_tokens
+    from scanloom.llm.mixing import mix_sources
+
+    docs = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", "n_tokens")
+    return mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used so that the sources have their target shares of all tokens."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("size", "n_tokens")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target and actual share of the mix."""
+    return _mixed(spark, sf_dir)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -68,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_bisect": p5_bisect,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 
 ORACLE_SQL: dict[str, str] = {
