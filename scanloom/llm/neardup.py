@@ -1,10 +1,10 @@
 """Pairs of records that share most of their token runs, found through anchors.
 
 The anchors are single runs of tokens. In one order of all runs, the rarest first, two sets whose
-similarity is at least the threshold t have a common run among the first |x| - ceil(2t|x|/(1+t)) + 1 runs of
-the smaller and the first |y| - ceil(t|y|) + 1 of the larger. So every set stands at the anchors of its
-short prefix (its own covering) and is replicated to those of its long prefix (covering plus
-threshold); whoever meets at an anchor is compared, and no pair can be missed.
+similarity is at least the threshold t have k common runs (k no more than they must have in common) among the
+first |x| - ceil(2t|x|/(1+t)) + k runs of the smaller and the first |y| - ceil(t|y|) + k of the larger. So every
+set stands at the anchors of its short prefix (its own covering) and is replicated to those of its long
+prefix (covering plus threshold); who meets at k anchors is compared, and no pair can be missed.
 """
 
 from __future__ import annotations
@@ -17,48 +17,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scanloom.plans.broadcasts import broadcast_if_small
 from scanloom.plans.lineage import cut
 
 _EPS = 1e-9
+#: Anchors at which two sets must meet: chance meetings are mostly single, those of like sets many.
+MEETINGS = 6
 
 
 def token_runs(rows: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """(id, runs) of the rows (id, grp, text) that have min_tokens tokens: hashes of the group and the distinct runs of
+    """(mark, runs) of the rows (mark, grp, text) that have min_tokens tokens: hashes of the group and the distinct runs of
     `width` consecutive tokens; tokens are the longest runs of [A-Za-z0-9_], in lower case.
 
     Each step is a projection of its own, since a lambda would evaluate what it names for every element.
     """
-    tokens = rows.select("id", "grp", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower).alias("tokens"))
+    tokens = rows.select("mark", "grp", F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower).alias("tokens"))
     many = tokens.filter(F.size("tokens") >= min_tokens)
     shifted = [F.slice("tokens", k + 1, F.greatest(F.size("tokens") - width + 1, F.lit(0))) for k in range(width)]
     runs = F.transform(F.arrays_zip(*shifted), lambda run: F.xxhash64(F.col("grp"), run))
-    return many.select("id", F.array_distinct(runs).alias("runs"))
+    return many.select("mark", F.array_distinct(runs).alias("runs"))
 
 
 def _records(df: DataFrame, id_col: str, text_col: str, group: Column | None, min_tokens: int) -> DataFrame:
-    """(id, grp, text) of the rows that can have a pair at all."""
-    grp = F.xxhash64(group) if group is not None else F.lit(0).cast("bigint")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), grp.alias("grp"), *([group.alias("named")] if group is not None else []))
-    rows = rows.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * min_tokens - 1))
-    return (rows.filter(F.col("named").isNotNull()) if group is not None else rows).select("id", "grp", "text")
+    """(id, mark, grp, text) of the rows that can have a pair at all; mark is the same for the same text in the same group."""
+    named = group if group is not None else F.lit("")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), named.alias("named"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("named").isNotNull() & (F.length("text") >= 2 * min_tokens - 1))
+    return rows.select("id", F.xxhash64("named", "text").alias("mark"), F.xxhash64("named").alias("grp"), "text")
 
 
-def _classes(records: DataFrame) -> DataFrame:
-    """(id, rep, times, alike) of every id: rep is the smallest id with the same text in the same group, times how
-    often the id was delivered, alike how many ids the class has. If an id came with several texts or groups, one is taken,
-    always the same."""
-    mark = F.struct(F.xxhash64("grp", "text").alias("h"), F.hash("text").alias("h2"), F.length("text").alias("n"))
-    per_id = records.groupBy("id").agg(F.min(mark).alias("mark"), F.count("*").alias("times"))
-    per_class = per_id.groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("alike"))
-    return per_id.join(per_class, "mark").select("id", "rep", "times", "alike", "mark")
-
-
-def _prefixes(t: float, table: np.ndarray):
-    """A mapInArrow function (id, runs) -> (anchor, id, n, pos, home): the runs of the long prefix, home those of the short."""
+def _prefixes(t: float, k: int, table: np.ndarray):
+    """A mapInArrow function (mark, runs) -> (anchor, mark, n, pos, home): the runs of the long prefix, home those of the short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = len(table) - 1
         for batch in batches:
+            _, once = np.unique(batch.column(0).to_numpy(), return_index=True)  # copies stand once
+            batch = batch.take(pa.array(once))
             lists = batch.column(1)
             h = lists.flatten().to_numpy(zero_copy_only=False)
             n = np.diff(lists.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -68,12 +63,12 @@ def _prefixes(t: float, table: np.ndarray):
             at = np.lexsort((h, table[h & mask], doc))
             pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             size = np.repeat(n, n)
-            long = size - np.ceil(t * size - _EPS).astype(np.int64) + 1
-            short = size - np.ceil(2 * t / (1 + t) * size - _EPS).astype(np.int64) + 1
+            long = size - np.ceil(t * size - _EPS).astype(np.int64) + k
+            short = size - np.ceil(2 * t / (1 + t) * size - _EPS).astype(np.int64) + k
             take = pos < long
             at, pos, size, home = at[take], pos[take], size[take], (pos < short)[take]
-            ids = batch.column(0).take(pa.array(doc[take]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), ids, pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(home)], names=["anchor", "id", "n", "pos", "home"])
+            marks = batch.column(0).take(pa.array(doc[take]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), marks, pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(home)], names=["anchor", "mark", "n", "pos", "home"])
 
     return run
 
@@ -92,56 +87,51 @@ def near_duplicate_pairs(
     (size of intersection over size of union) or more; id_a < id_b, each pair once.
 
     A null, empty or short text (fewer than min_tokens tokens) and a null id or group have no pair. An id
-    delivered again is one record. Exact copies are found by hash and compared once for all of them; a text
-    may be of any length. Runs are compared by 64-bit hash. buckets (a power of two) is the size of
-    the table of counts that ranks runs by rarity; it is counted over all records, is all that the
-    driver and every task hold of the corpus, and bears on speed only. Extra columns are not read.
+    delivered again is one record; should its texts differ, the likest counts. Exact copies are found by hash and compared
+    once for all of them; a text may be of any length. Texts and runs are compared by 64-bit hash. buckets (a
+    power of two) is the size of the table of counts that ranks runs by rarity; it is counted over all
+    records, is all that the driver and every task hold of the corpus, and bears on speed only. Extra
+    columns are not read.
     """
     if not 0 < threshold <= 1 or width < 1 or min_tokens < width or buckets & (buckets - 1):
         raise ValueError("0 < threshold <= 1, 1 <= width <= min_tokens and buckets a power of two must hold")
-    spark = df.sparkSession
     records = _records(df, id_col, text_col, group, min_tokens)
-    classes = cut(_classes(records).filter((F.col("times") > 1) | (F.col("alike") > 1)))  # the few ids that aren't alone
-    alone = records.join(classes.select("id"), "id", "left_anti")
-    several = classes.filter(F.col("id") == F.col("rep")).select(F.col("id"), "mark")
-    again = records.join(several, "id").filter(F.xxhash64("grp", "text") == F.col("mark.h")).dropDuplicates(["id"]).select("id", "grp", "text")
-
-    def parsed(rows: DataFrame) -> DataFrame:
-        return token_runs(rows, width, min_tokens)
-
-    reps = parsed(alone.unionByName(again))
+    runs = token_runs(records, width, min_tokens)
     # explode would make Spark check each list first, and so build it twice; no list here is empty.
-    counts = reps.select(F.explode_outer("runs").alias("r")).groupBy(F.col("r").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
+    counts = runs.select(F.explode_outer("runs").alias("r")).groupBy(F.col("r").bitwiseAND(buckets - 1).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
     table = np.zeros(buckets, np.int64)
     table[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
-    kind = df.schema[id_col].dataType.simpleString()
-    stands = reps.mapInArrow(_prefixes(threshold, table), f"anchor bigint, id {kind}, n int, pos int, home boolean")
+    stands = runs.mapInArrow(_prefixes(threshold, MEETINGS, table), "anchor bigint, mark bigint, n int, pos int, home boolean")
 
     # Most anchors are runs that occur once; only those where somebody can meet somebody go on.
     here = Window.partitionBy("anchor")
-    met = cut(stands.withColumns({"all": F.count("*").over(here), "homes": F.max("home").over(here)}).filter((F.col("all") > 1) & F.col("homes")).drop("all", "homes"))
+    once = stands.repartition("anchor").dropDuplicates(["anchor", "mark"])
+    met = cut(once.withColumns({"all": F.count("*").over(here), "homes": F.max("home").over(here)}).filter((F.col("all") > 1) & F.col("homes")).drop("all", "homes"))
     a, b = met.filter("home").alias("a"), met.alias("b")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - _EPS)
     meet = (
         (F.col("a.anchor") == F.col("b.anchor"))
-        & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))))
+        & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.mark") < F.col("b.mark"))))
         & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - _EPS)
-        & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
+        & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need - (MEETINGS - 1))
     )
-    candidates = cut(a.join(b, meet).select(F.least("a.id", "b.id").alias("rep_a"), F.greatest("a.id", "b.id").alias("rep_b")).distinct())
-
-    wanted = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    sets = parsed(alone.join(wanted, "id", "left_semi").unionByName(again.join(wanted, "id", "left_semi")))
-    both = candidates.join(sets.select(F.col("id").alias("rep_a"), F.col("runs").alias("x")), "rep_a").join(sets.select(F.col("id").alias("rep_b"), F.col("runs").alias("y")), "rep_b")
+    meetings = a.join(b, meet).groupBy(F.col("a.mark").alias("mark_a"), F.col("b.mark").alias("mark_b")).agg(F.count("*").alias("met"), F.min(need).alias("need"))
+    candidates = cut(meetings.filter(F.col("met") >= F.least(F.lit(MEETINGS), F.col("need"))).select("mark_a", "mark_b"))
+
+    # One row of each text that is a candidate or has several ids is read again, and only its set compared.
+    ids = records.select("id", "mark")
+    reps = ids.groupBy("mark").agg(F.min("id").alias("rep"), (F.max("id") > F.min("id")).alias("several"))
+    named = candidates.select(F.explode(F.array("mark_a", "mark_b")).alias("mark")).distinct().withColumn("named", F.lit(True))
+    wanted = reps.join(named, "mark", "left").filter(F.col("named") | F.col("several")).select(F.col("mark").alias("m"), F.col("rep").alias("r"))
+    texts = records.join(broadcast_if_small(cut(wanted)), (F.col("mark") == F.col("m")) & (F.col("id") == F.col("r"))).select("mark", "grp", "text").dropDuplicates(["mark"])
+    sets = cut(token_runs(texts, width, min_tokens))
+    both = candidates.join(sets.select(F.col("mark").alias("mark_a"), F.col("runs").alias("x")), "mark_a").join(sets.select(F.col("mark").alias("mark_b"), F.col("runs").alias("y")), "mark_b")
     common = F.size(F.array_intersect("x", "y"))
-    like = both.select("rep_a", "rep_b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
-
-    members = classes.filter(F.col("alike") > 1).select("id", "rep")
-    ma, mb = (members.select(F.col("id").alias(f"id_{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab")
-    spread = like.join(ma, "rep_a", "left").join(mb, "rep_b", "left").select(F.coalesce("id_a", "rep_a").alias("u"), F.coalesce("id_b", "rep_b").alias("v"), "similarity")
-    between = spread.select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"), "similarity")
-    whole = parsed(again.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")).select(F.col("id").alias("rep"))
-    held = members.join(whole, "rep")
-    x, y = held.alias("x"), held.alias("y")
-    within = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.lit(1.0).alias("similarity"))
-    return between.unionByName(within)
+    like = both.select("mark_a", "mark_b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+    members = cut(ids.distinct().join(sets.select("mark"), "mark"))
+    of_a, of_b = (members.select(F.col("mark").alias(f"mark_{s}"), F.col("id").alias(s)) for s in ("a", "b"))
+    between = like.join(of_a, "mark_a").join(of_b, "mark_b").select("a", "b", "similarity")
+    within = of_a.join(of_b, F.col("mark_a") == F.col("mark_b")).select("a", "b", F.lit(1.0).alias("similarity"))
+    pairs = between.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity").unionByName(within.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "similarity"))
+    return pairs.filter(F.col("id_a") < F.col("id_b")).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
