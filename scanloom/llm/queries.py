@@ -32,6 +32,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id_a", "id_b")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand here; a repository is the project of the file's task."""
+    from scanloom.llm.handwritten import not_handwritten
+
+    libraries = [r["lib_name"] for r in table(spark, sf_dir, "known_library").select("lib_name").limit(10_000).collect()]
+    repos = table(spark, sf_dir, "vuldetail").select("taskid", "itemid")
+    return not_handwritten(table(spark, sf_dir, "vulfile"), "fileid", "filename", "filepath", "source_code", "taskid", libraries, repos)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every credential's place in source_code."""
     from scanloom.llm.credentials import find_credentials
@@ -89,6 +98,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
