@@ -95,6 +95,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that each document's text deals with."""
+    from scanloom.llm.subjects import subject_areas
+
+    return subject_areas(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents and characters of each subject."""
+    found = p8_found(spark, sf_dir)
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    sums = found.join(sizes, "doc_id").groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_chars"))
+    return table(spark, sf_dir, "subject_area").join(sums, "subject", "left").select("subject", "name_cn", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -106,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 ORACLE_SQL: dict[str, str] = {
