@@ -5,24 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scanloom.sources.tables import table
+from scanloom.plans import code, dashboards, dataflow
 
-
-def top_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten kinds of finding that occur most; equal counts in the order of their names."""
-    return (
-        table(spark, sf_dir, "vulfile")
-        .filter(F.col("vultype").isNotNull())
-        .groupBy("vultype")
-        .agg(F.count("*").alias("n_findings"))
-        .orderBy(F.desc("n_findings"), "vultype")
-        .limit(10)
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"top_kinds": top_kinds}
-ORACLE_SQL: dict[str, str] = {
-    "top_kinds": "SELECT vultype, count(*) AS n_findings FROM vulfile WHERE vultype IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**dashboards.QUERIES, **dataflow.QUERIES, **code.QUERIES}
+ORACLE_SQL: dict[str, str] = {**dashboards.ORACLE_SQL, **dataflow.ORACLE_SQL, **code.ORACLE_SQL}
