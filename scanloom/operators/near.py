@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -61,7 +62,7 @@ def lines_with_needles(lines: DataFrame, text: str, needles: DataFrame, needle:
     return lines.filter(hit).join(F.broadcast(needles.filter(F.length(needle) > 0)), F.col(text).contains(F.col(needle)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of characters in common blocks of two texts, as difflib counts it; 0 if either is null."""
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])

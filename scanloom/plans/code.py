@@ -1,2 +1,188 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over source code: lines, calls, rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scanloom.operators import graph, near, paths, ranking
+from scanloom.rules import lines as line_rules
+from scanloom.rules import nodes as node_rules
+from scanloom.rules.catalogue import RULES
+from scanloom.sources.tables import table
+
+_INPUT = r"getParameter|argv|getenv|request\.|req\.|\$_GET|\$_POST|\$_COOKIE|scanf|recv\("
+_SINK = r"\bsystem\(|\bexec\(|executeQuery|\.execute\(|mysqli_query|sendRedirect|\bpopen\(|\beval\("
+_HEADER = r"^\s*(?:public|private|protected|static|def|function|int|void|bool|char|struct|async)\b[^;=]*\("
+_NEEDLES = ("getenv", "strcpy", "sendRedirect", "cursor.execute", "mysqli_query", "innerHTML", "ObjectInputStream", "subprocess")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """One text of code for each finding, with the language of its file."""
+    f = ranking.keep_first(table(spark, d, "vulfile").select("id", "filename", "source_code").filter("id is not null"), ["id"], [F.col("filename"), F.col("source_code")])
+    return f.select("id", "filename", paths.language_of(F.col("filename")).alias("language"), F.col("source_code").alias("content"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_rules.lines_of_files(_files(spark, d), ["id"])
+
+
+def rule_findings(spark, d):
+    """What the rules find, one row for each rule and line."""
+    return line_rules.findings(_lines(spark, d).filter("language is not null"), ["id"]).select("id", "line_no", "rule_id", "kind", "cwe")
+
+
+def rule_findings_finished(spark, d):
+    """The same once for each line and kind, with the catalogue's level, without what was found before."""
+    found = line_rules.findings(_lines(spark, d).filter("language is not null"), ["id"])
+    known = table(spark, d, "vulfile").select("id", F.lit(1).alias("line_no"), F.trim("vultype").alias("kind")).distinct()
+    done = line_rules.finish(found, ["id"], table(spark, d, "subvullist"), known)
+    return done.groupBy("kind", "level").agg(F.count("*").alias("n_findings"), F.countDistinct("id").alias("n_files"))
+
+
+def needles_in_lines(spark, d):
+    """Lines that hold one of a list of texts, each text's lines and files counted."""
+    needles = spark.createDataFrame([(n,) for n in _NEEDLES], "needle string")
+    hit = near.lines_with_needles(_lines(spark, d), "text", needles, "needle")
+    return hit.groupBy("needle").agg(F.count("*").alias("n_lines"), F.countDistinct("id").alias("n_files"))
+
+
+def sinks_near_input(spark, d):
+    """Dangerous calls with data from outside fewer than 50 lines before."""
+    lines = _lines(spark, d).select("id", "line_no", "text")
+    return near.within_lines(lines.filter(F.col("text").rlike(_SINK)).select("id", "line_no"), lines.filter(F.col("text").rlike(_INPUT)).select("id", "line_no"), ["id"], "line_no", 50)
+
+
+def input_before_sinks(spark, d):
+    """Dangerous calls with the last line before them that takes data from outside."""
+    lines = _lines(spark, d).select("id", "line_no", "text")
+    return near.nearest_before(lines.filter(F.col("text").rlike(_SINK)).select("id", "line_no"), lines.filter(F.col("text").rlike(_INPUT)).select("id", "line_no"), ["id"], "line_no")
+
+
+def context_of_sinks(spark, d):
+    """Dangerous calls with two lines before and after."""
+    lines = ranking.with_context(_lines(spark, d).select("id", "line_no", "text"), ["id"], "line_no", "text", 2)
+    return lines.filter(F.col("text").rlike(_SINK)).select("id", "line_no", "context")
+
+
+def functions_of_sinks(spark, d):
+    """Dangerous calls with the line on which the function that holds them begins."""
+    header = F.when(F.col("text").rlike(_HEADER), F.col("line_no"))
+    lines = ranking.last_before(_lines(spark, d).select("id", "line_no", "text"), ["id"], "line_no", header, "function_line")
+    return lines.filter(F.col("text").rlike(_SINK)).select("id", "line_no", "function_line")
+
+
+def next_functions(spark, d):
+    """Comment lines with the line of the first function after them."""
+    header = F.when(F.col("text").rlike(_HEADER), F.col("line_no"))
+    lines = ranking.first_after(_lines(spark, d).select("id", "line_no", "text"), ["id"], "line_no", header, "function_line")
+    return lines.filter(F.col("text").rlike(r"^\s*//")).select("id", "line_no", "function_line")
+
+
+def places_in_code(spark, d):
+    """Where the repaired code of a finding stands in its source code, blanks aside."""
+    f = table(spark, d, "vulfile").filter("source_code is not null and repair_code is not null").select("id", "source_code", "repair_code").distinct()
+    at = near.place_of(F.col("source_code"), F.col("repair_code"))
+    return f.select("id", at.alias("p")).select("id", F.col("p.start_line").alias("start_line"), F.col("p.end_line").alias("end_line"))
+
+
+def likest_lines(spark, d):
+    """The lines of a finding's code that are likest to its repaired code, from a likeness of a half on."""
+    f = table(spark, d, "vulfile").filter("id is not null and length(trim(repair_code)) > 0").select("id", F.trim("repair_code").alias("text")).distinct()
+    found = near.likest_lines(_lines(spark, d).select("id", "line_no", F.trim("text").alias("text")).filter("text <> ''"), f, ["id"], "text")
+    return found.select("id", "line_no", F.round("likeness", 6).alias("likeness"))
+
+
+def complexity_of_code(spark, d):
+    """About how many ways lead through each text of code, by language."""
+    f = _files(spark, d).filter("content is not null")
+    return f.withColumn("n", line_rules.complexity(F.col("content"))).groupBy("language").agg(F.count("*").alias("n_files"), F.sum("n").alias("sum_ccn"), F.max("n").alias("max_ccn"))
+
+
+def calls(spark, d):
+    """Calls, functions and literals of the code by language and name, those that occur 20 times or more."""
+    n = node_rules.nodes(_files(spark, d).filter("language is not null"), ["id"])
+    return n.filter("kind <> 'string'").groupBy("language", "kind", "name").agg(F.count("*").alias("n_nodes"), F.countDistinct("id").alias("n_files")).filter("n_nodes >= 20")
+
+
+def tainted_calls(spark, d):
+    """Dangerous calls after data came from outside in the same function, unless it is checked there."""
+    n = node_rules.nodes(_files(spark, d).filter("language is not null"), ["id"])
+    source = F.col("name").isin("getParameter", "getHeader", "getenv", "scanf", "recv", "fgets", "input") | F.col("args").rlike(_INPUT)
+    sink = F.col("name").isin("exec", "system", "popen", "execute", "executeQuery", "mysqli_query", "sendRedirect", "eval", "strcpy", "call")
+    found = node_rules.tainted_calls(n, ["id"], source, sink).unionByName(node_rules.calls_with(n, sink, F.col("args").rlike(_INPUT))).dropDuplicates(["id", "node_id"])
+    return node_rules.unless_guarded(found, n, ["id"], F.col("name").rlike("(?i)escape|sanitize|validate|quote")).select("id", "language", "name", "line")
+
+
+def modules_imported(spark, d):
+    """Modules by how many texts of code import them."""
+    f = _files(spark, d).filter("content is not null")
+    return f.select("id", F.explode(graph.imports_of(F.col("content"))).alias("module")).groupBy("module").agg(F.countDistinct("id").alias("n_files"))
+
+
+def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A graph of the code's calls: calls as nodes, edges from a call to the calls within its arguments."""
+    n = cut_nodes(spark, d)
+    key = F.col("id").cast("bigint") * 100_000
+    nodes = n.select((key + F.col("node_id")).alias("id"), F.upper("kind").alias("label"), "name", F.coalesce("args", F.lit("")).alias("code"), "line", F.col("id").cast("string").alias("source_file"))
+    edges = n.filter("in_args_of is not null").select((key + F.col("in_args_of")).alias("src"), (key + F.col("node_id")).alias("dst"))
+    return nodes, edges
+
+
+def cut_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of the code written once, for what reads them several times."""
+    from scanloom.plans.lineage import cut
+
+    return cut(node_rules.nodes(_files(spark, d).filter("language is not null"), ["id"]))
+
+
+def unguarded_calls(spark, d):
+    """Calls that touch the file system and have no call within two steps that checks a path."""
+    nodes, edges = _edges(spark, d)
+    subject = F.col("label").eqNullSafe("CALL") & F.col("name").isin("File", "FileInputStream", "open", "fopen", "readFile", "join", "exec", "call", "system")
+    found = graph.unguarded(nodes, edges, subject, F.col("name").rlike("(?i)normal|canonical|realpath|basename"), 2)
+    return found.groupBy("name").agg(F.count("*").alias("n_calls"), F.countDistinct("source_file").alias("n_files"))
+
+
+QUERIES = {f.__name__: f for f in (rule_findings, rule_findings_finished, needles_in_lines, sinks_near_input, input_before_sinks, context_of_sinks, functions_of_sinks, next_functions, places_in_code, likest_lines, complexity_of_code, calls, tainted_calls, modules_imported, unguarded_calls)}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SUFFIXES = " ".join(f"WHEN s IN ({', '.join(map(_q, v))}) THEN '{k}'" for k, v in paths.SUFFIXES.items())
+_FILES = f"""
+    f0 AS (SELECT id, filename, source_code AS content, lower(regexp_extract(regexp_extract(replace(filename, '\\', '/'), '[^/]*$'), '\\.([^.]+)$', 1)) AS s FROM vulfile
+        WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY filename NULLS FIRST, source_code NULLS FIRST) = 1),
+    f AS (SELECT id, content, CASE {_SUFFIXES} END AS language FROM f0),
+    a AS (SELECT id, language, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM f WHERE content IS NOT NULL),
+    l AS (SELECT id, language, unnest(range(1, len(t) + 1))::INT AS line_no, unnest(t) AS text FROM a)"""
+_RULES = ", ".join(f"({_q(r.rule_id)}, {_q(r.language)}, {_q(r.sink)}, {_q(r.source)}, {_q(r.safe)}, {_q(r.kind)}, {_q(r.level)}, {_q(r.cwe)})" for r in RULES)
+_FOUND = f"""{_FILES},
+    r AS (SELECT * FROM (VALUES {_RULES}) v(rule_id, language, sink, source, safe, kind, level, cwe)),
+    c AS (SELECT id, language, line_no, text, NOT regexp_matches(text, '^\\s*(?://|/\\*|\\*|<!--|--)') AND (NOT regexp_matches(text, '^\\s*#') OR regexp_matches(text, '^\\s*#\\s*(?:include|define)')) AS code FROM l WHERE language IS NOT NULL),
+    h AS (SELECT c.*, rule_id, source, safe, kind, level, cwe FROM c JOIN r USING (language) WHERE code AND regexp_matches(text, sink)),
+    x AS (
+        SELECT h.id, h.line_no, h.rule_id, any_value(kind) AS kind, any_value(level) AS level, any_value(cwe) AS cwe,
+            any_value(source) AS source, any_value(safe) AS safe, string_agg(l.text, chr(10) ORDER BY l.line_no) FILTER (l.line_no <= h.line_no) AS before, string_agg(l.text, chr(10) ORDER BY l.line_no) AS about
+        FROM h JOIN l ON h.id = l.id AND l.line_no BETWEEN h.line_no - 20 AND h.line_no + 20 GROUP BY 1, 2, 3),
+    found AS (SELECT * FROM x WHERE (source = '' OR regexp_matches(before, source)) AND NOT regexp_matches(about, safe))"""
+
+ORACLE_SQL = {
+    "rule_findings": f"WITH {_FOUND} SELECT id, line_no, rule_id, kind, cwe FROM found",
+    "rule_findings_finished": f"""
+        WITH {_FOUND}, o AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY id, line_no, kind ORDER BY rule_id) = 1),
+        n AS (SELECT trim(name_cn) AS kind, max(level) AS listed FROM subvullist GROUP BY 1)
+        SELECT o.kind, coalesce(listed, level) AS level, count(*) AS n_findings, count(DISTINCT id) AS n_files FROM o LEFT JOIN n USING (kind)
+        WHERE NOT EXISTS (SELECT 1 FROM vulfile v WHERE v.id = o.id AND trim(v.vultype) = o.kind AND o.line_no = 1) GROUP BY 1, 2""",
+    "needles_in_lines": f"WITH {_FILES}, n AS (SELECT unnest([{', '.join(map(_q, _NEEDLES))}]) AS needle) SELECT needle, count(*) AS n_lines, count(DISTINCT id) AS n_files FROM l JOIN n ON contains(text, needle) GROUP BY 1",
+    "sinks_near_input": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no AS source_line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, i.source_line_no FROM s JOIN i ON s.id = i.id AND i.source_line_no < s.line_no AND s.line_no - i.source_line_no < 50",
+    "input_before_sinks": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, (SELECT max(i.line_no) FROM i WHERE i.id = s.id AND i.line_no < s.line_no) AS source_line FROM s",
+    "context_of_sinks": f"WITH {_FILES}, c AS (SELECT id, line_no, text, string_agg(text, chr(10)) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM l) SELECT id, line_no, context FROM c WHERE regexp_matches(text, {_q(_SINK)})",
+    "functions_of_sinks": f"WITH {_FILES}, c AS (SELECT id, line_no, text, max(CASE WHEN regexp_matches(text, {_q(_HEADER)}) THEN line_no END) OVER (PARTITION BY id ORDER BY line_no) AS function_line FROM l) SELECT id, line_no, function_line FROM c WHERE regexp_matches(text, {_q(_SINK)})",
+    "next_functions": f"WITH {_FILES}, c AS (SELECT id, line_no, text, min(CASE WHEN regexp_matches(text, {_q(_HEADER)}) THEN line_no END) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS function_line FROM l) SELECT id, line_no, function_line FROM c WHERE regexp_matches(text, '^\\s*//')",
+    "complexity_of_code": f"""
+        WITH {_FILES}, n AS (SELECT language, 1 + len(regexp_extract_all(content, '\\b(?:if|for|while|case|catch|elif|except|foreach)\\b|&&|\\|\\||\\?[^?:\\n]*:')) AS n FROM f WHERE content IS NOT NULL)
+        SELECT language, count(*) AS n_files, sum(n)::BIGINT AS sum_ccn, max(n)::INT AS max_ccn FROM n GROUP BY 1""",
+}
