@@ -77,7 +77,7 @@ def without_comments(code: Column) -> Column:
     plain = F.regexp_replace(code, r"(?s)/\*.*?\*/", "")
     plain = F.regexp_replace(plain, r"(?m)//[^\n]*$", "")
     plain = F.regexp_replace(plain, r"(?m)^\s*(?:import|package|#include|using)\b[^\n]*$", "")
-    return F.trim(F.regexp_replace(plain, r"\n\s*(?=\n)", ""))
+    return F.regexp_replace(F.regexp_replace(plain, r"\n\s*(?=\n)", ""), r"^\s+|\s+$", "")
 
 
 def in_order(text: Column, words: list[str]) -> Column:

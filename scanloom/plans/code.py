@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from scanloom.operators import graph, near, paths, ranking
 from scanloom.rules import lines as line_rules
 from scanloom.rules import nodes as node_rules
-from scanloom.rules.catalogue import RULES
 from scanloom.sources.tables import table
 
 _INPUT = r"getParameter|argv|getenv|request\.|req\.|\$_GET|\$_POST|\$_COOKIE|scanf|recv\("
@@ -114,12 +113,6 @@ def tainted_calls(spark, d):
     return node_rules.unless_guarded(found, n, ["id"], F.col("name").rlike("(?i)escape|sanitize|validate|quote")).select("id", "language", "name", "line")
 
 
-def modules_imported(spark, d):
-    """Modules by how many texts of code import them."""
-    f = _files(spark, d).filter("content is not null")
-    return f.select("id", F.explode(graph.imports_of(F.col("content"))).alias("module")).groupBy("module").agg(F.countDistinct("id").alias("n_files"))
-
-
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A graph of the code's calls: calls as nodes, edges from a call to the calls within its arguments."""
     n = cut_nodes(spark, d)
@@ -144,7 +137,7 @@ def unguarded_calls(spark, d):
     return found.groupBy("name").agg(F.count("*").alias("n_calls"), F.countDistinct("source_file").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (rule_findings, rule_findings_finished, needles_in_lines, sinks_near_input, input_before_sinks, context_of_sinks, functions_of_sinks, next_functions, places_in_code, likest_lines, complexity_of_code, calls, tainted_calls, modules_imported, unguarded_calls)}
+QUERIES = {f.__name__: f for f in (rule_findings, rule_findings_finished, needles_in_lines, sinks_near_input, input_before_sinks, context_of_sinks, functions_of_sinks, next_functions, places_in_code, likest_lines, complexity_of_code, calls, tainted_calls, unguarded_calls)}
 
 
 def _q(text: str) -> str:
@@ -158,24 +151,8 @@ _FILES = f"""
     f AS (SELECT id, content, CASE {_SUFFIXES} END AS language FROM f0),
     a AS (SELECT id, language, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM f WHERE content IS NOT NULL),
     l AS (SELECT id, language, unnest(range(1, len(t) + 1))::INT AS line_no, unnest(t) AS text FROM a)"""
-_RULES = ", ".join(f"({_q(r.rule_id)}, {_q(r.language)}, {_q(r.sink)}, {_q(r.source)}, {_q(r.safe)}, {_q(r.kind)}, {_q(r.level)}, {_q(r.cwe)})" for r in RULES)
-_FOUND = f"""{_FILES},
-    r AS (SELECT * FROM (VALUES {_RULES}) v(rule_id, language, sink, source, safe, kind, level, cwe)),
-    c AS (SELECT id, language, line_no, text, NOT regexp_matches(text, '^\\s*(?://|/\\*|\\*|<!--|--)') AND (NOT regexp_matches(text, '^\\s*#') OR regexp_matches(text, '^\\s*#\\s*(?:include|define)')) AS code FROM l WHERE language IS NOT NULL),
-    h AS (SELECT c.*, rule_id, source, safe, kind, level, cwe FROM c JOIN r USING (language) WHERE code AND regexp_matches(text, sink)),
-    x AS (
-        SELECT h.id, h.line_no, h.rule_id, any_value(kind) AS kind, any_value(level) AS level, any_value(cwe) AS cwe,
-            any_value(source) AS source, any_value(safe) AS safe, string_agg(l.text, chr(10) ORDER BY l.line_no) FILTER (l.line_no <= h.line_no) AS before, string_agg(l.text, chr(10) ORDER BY l.line_no) AS about
-        FROM h JOIN l ON h.id = l.id AND l.line_no BETWEEN h.line_no - 20 AND h.line_no + 20 GROUP BY 1, 2, 3),
-    found AS (SELECT * FROM x WHERE (source = '' OR regexp_matches(before, source)) AND NOT regexp_matches(about, safe))"""
 
 ORACLE_SQL = {
-    "rule_findings": f"WITH {_FOUND} SELECT id, line_no, rule_id, kind, cwe FROM found",
-    "rule_findings_finished": f"""
-        WITH {_FOUND}, o AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY id, line_no, kind ORDER BY rule_id) = 1),
-        n AS (SELECT trim(name_cn) AS kind, max(level) AS listed FROM subvullist GROUP BY 1)
-        SELECT o.kind, coalesce(listed, level) AS level, count(*) AS n_findings, count(DISTINCT id) AS n_files FROM o LEFT JOIN n USING (kind)
-        WHERE NOT EXISTS (SELECT 1 FROM vulfile v WHERE v.id = o.id AND trim(v.vultype) = o.kind AND o.line_no = 1) GROUP BY 1, 2""",
     "needles_in_lines": f"WITH {_FILES}, n AS (SELECT unnest([{', '.join(map(_q, _NEEDLES))}]) AS needle) SELECT needle, count(*) AS n_lines, count(DISTINCT id) AS n_files FROM l JOIN n ON contains(text, needle) GROUP BY 1",
     "sinks_near_input": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no AS source_line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, i.source_line_no FROM s JOIN i ON s.id = i.id AND i.source_line_no < s.line_no AND s.line_no - i.source_line_no < 50",
     "input_before_sinks": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, (SELECT max(i.line_no) FROM i WHERE i.id = s.id AND i.line_no < s.line_no) AS source_line FROM s",

@@ -43,15 +43,17 @@ def findings(lines: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULE
     sink = _any_sink(rules) & ~F.col("text").rlike(COMMENT)
     marked = lines.withColumn("sink", sink).withColumn("any", F.max("sink").over(both)).filter("any")
     marked = marked.withColumns({"before": F.array_join(F.collect_list("text").over(before), "\n"), "about": F.array_join(F.collect_list("text").over(both), "\n")}).filter("sink")
-    session = lines.sparkSession
-    table = session.createDataFrame([(r.rule_id, r.language, r.sink, r.source, r.safe, r.kind, r.level, r.cwe) for r in rules], "rule_id string, rule_language string, sink_pattern string, source_pattern string, safe_pattern string, kind string, level string, cwe string")
-    hit = (
-        (F.col("language") == F.col("rule_language"))
-        & F.expr("text RLIKE sink_pattern")
-        & F.expr("(source_pattern = '' OR before RLIKE source_pattern)")
-        & F.expr("(safe_pattern = '' OR NOT about RLIKE safe_pattern)")
-    )
-    return marked.join(F.broadcast(table), hit).select(*keys, "language", "line_no", "rule_id", "kind", "level", "cwe", "text")
+    # Patterns as literals, each compiled once; a pattern that comes from a row would be compiled for every row.
+    hits = [
+        F.when(
+            (F.col("language") == r.language) & F.col("text").rlike(r.sink) & (F.col("before").rlike(r.source) if r.source else F.lit(True)) & (~F.col("about").rlike(r.safe) if r.safe else F.lit(True)),
+            F.lit(r.rule_id),
+        )
+        for r in rules
+    ]
+    found = marked.select(*keys, "language", "line_no", "text", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
+    table = lines.sparkSession.createDataFrame([(r.rule_id, r.kind, r.level, r.cwe) for r in rules], "rule_id string, kind string, level string, cwe string")
+    return found.join(F.broadcast(table), "rule_id").select(*keys, "language", "line_no", "rule_id", "kind", "level", "cwe", "text")
 
 
 def finish(found: DataFrame, keys: Sequence[str], catalogue: DataFrame, known: DataFrame | None = None) -> DataFrame:
