@@ -79,16 +79,16 @@ def next_functions(spark, d):
 
 
 def places_in_code(spark, d):
-    """Where the repaired code of a finding stands in its source code, blanks aside."""
-    f = table(spark, d, "vulfile").filter("source_code is not null and repair_code is not null").select("id", "source_code", "repair_code").distinct()
-    at = near.place_of(F.col("source_code"), F.col("repair_code"))
+    """Where the method that holds a finding is first named in its source code, blanks aside."""
+    f = table(spark, d, "vulfile").filter("source_code is not null and length(trim(enclosing_method)) > 0").select("id", "source_code", "enclosing_method").distinct()
+    at = near.place_of(F.col("source_code"), F.col("enclosing_method"))
     return f.select("id", at.alias("p")).select("id", F.col("p.start_line").alias("start_line"), F.col("p.end_line").alias("end_line"))
 
 
 def likest_lines(spark, d):
-    """The lines of a finding's code that are likest to its repaired code, from a likeness of a half on."""
+    """The lines of a finding's code that are likest to its repaired code, from a likeness of 0.3 on."""
     f = table(spark, d, "vulfile").filter("id is not null and length(trim(repair_code)) > 0").select("id", F.trim("repair_code").alias("text")).distinct()
-    found = near.likest_lines(_lines(spark, d).select("id", "line_no", F.trim("text").alias("text")).filter("text <> ''"), f, ["id"], "text")
+    found = near.likest_lines(_lines(spark, d).select("id", "line_no", F.trim("text").alias("text")).filter("text <> ''"), f, ["id"], "text", 0.3)
     return found.select("id", "line_no", F.round("likeness", 6).alias("likeness"))
 
 
