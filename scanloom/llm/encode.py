@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.plans.spread import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut into words before encoding: the vocabulary's fixed pattern.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -166,7 +168,7 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VO
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def count_tokens(df: DataFrame, text_col: str, count_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -178,4 +180,4 @@ def count_tokens(df: DataFrame, text_col: str, count_col: str, vocabulary: str =
             texts = part.tolist()
             yield pd.Series([len(ids) for a, b in _batches(texts, 4096, 4 << 20) for ids in enc.encode_batch(texts[a:b])], dtype="int64")
 
-    return df.withColumn(count_col, run(F.col(f"`{text_col}`")))
+    return spread(df).withColumn(count_col, run(F.col(f"`{text_col}`")))

@@ -12,12 +12,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.plans.lineage import cut
+from scanloom.plans.spread import spread
 
 #: Phrases have to occur in this share of the labelled documents (and in LEAST of them); that bounds how many there are.
 SUPPORT = 0.004
@@ -140,7 +142,7 @@ def mine_rules(docs: DataFrame, labels: DataFrame, areas: set[str]) -> Rules:
     """Rules from documents (id, text) and labels (id, subject, reviewer)."""
     from pyspark.ml.fpm import FPGrowth
 
-    base = cut(_labelled(docs, labels, areas))
+    base = cut(spread(_labelled(docs, labels, areas)))
     n_docs = base.count()
     if not n_docs:
         return Rules()
@@ -187,7 +189,8 @@ def mine_rules(docs: DataFrame, labels: DataFrame, areas: set[str]) -> Rules:
         both = r["support"] * n_baskets
         like = (both + 2 * share[r["subject"]]) / (both / r["confidence"] + 2)
         need = frozenset(r["antecedent"])
-        if like >= SURE and not any(s == r["subject"] and shorter < need and known[0] >= like - _SLACK for (shorter, s), known in found.items() if len(shorter) == 1 or len(need) > 2):
+        shorter = (found.get((frozenset(part), r["subject"])) for k in range(1, len(need)) for part in combinations(need, k))
+        if like >= SURE and not any(known and known[0] >= like - _SLACK for known in shorter):
             found[need, r["subject"]] = like, both
     whole = 1 << 30
     part = min(whole, int(whole * COVER / n_baskets) + 1)
@@ -257,4 +260,4 @@ def subject_areas(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["id", "subject"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.filter(F.length("text") > 0).mapInArrow(run, f"id {kind}, subject string").dropDuplicates().withColumnRenamed("id", id_col)
+    return spread(texts.filter(F.length("text") > 0)).mapInArrow(run, f"id {kind}, subject string").dropDuplicates().withColumnRenamed("id", id_col)
