@@ -58,9 +58,9 @@ def top_n_per_group(
         raise ValueError("keys and order must not be empty")
     df = df.drop(rank_col)
     n_masks = max(1, -(-n // _PER_MASK))
-    inner = fresh([*df.columns, rank_col], "tn_b1", "tn_b2", "tn_t1", "tn_t2", "tn_best", *(f"tn_k{i}" for i in range(len(keys))), *(f"tn_m{i}" for i in range(n_masks)))
-    b1, b2, t1, t2, best = inner[:5]
-    group, masks = inner[5 : 5 + len(keys)], inner[5 + len(keys) :]
+    inner = fresh([*df.columns, rank_col], "tn_b1", "tn_b2", "tn_t1", "tn_t2", "tn_best", "tn_low", "tn_high", *(f"tn_k{i}" for i in range(len(keys))), *(f"tn_m{i}" for i in range(n_masks)))
+    b1, b2, t1, t2, best, low, high = inner[:7]
+    group, masks = inner[7 : 7 + len(keys)], inner[7 + len(keys) :]
     (first, first_desc), second = order[0], order[1] if len(order) > 1 else None
     rows = df.dropna(subset=list(keys)).withColumns(
         {b1: _bucket(_score(df, first), first_desc, resolution), b2: _bucket(_score(df, second[0]), second[1], 16) if second else F.lit(0)}
@@ -70,12 +70,17 @@ def top_n_per_group(
     spot = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(64 * n_masks))
     one = F.lit(1).cast("bigint")
     cells = rows.groupBy(*[F.col(f"`{k}`").alias(g) for k, g in zip(keys, group)], b1, b2).agg(
-        *[F.bit_or(F.when(F.floor(spot / 64) == i, F.call_function("shiftleft", one, F.pmod(spot, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(m) for i, m in enumerate(masks)]
+        *[F.bit_or(F.when(F.floor(spot / 64) == i, F.call_function("shiftleft", one, F.pmod(spot, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(m) for i, m in enumerate(masks)],
+        F.min(_score(df, first)).alias(low),
+        F.max(_score(df, first)).alias(high),
     )
     down = Window.partitionBy(*group).orderBy(F.desc(b1), F.desc(b2)).rowsBetween(Window.unboundedPreceding, 0)
-    seen = cells.withColumns({m: F.bit_or(m).over(down) for m in masks})
+    level = Window.partitionBy(*group, b1)
+    # Only where all rows of a first bucket have one value does the second bucket order them; else the bound takes the whole first bucket.
+    exact = F.min(low).over(level).eqNullSafe(F.max(high).over(level))
+    seen = cells.withColumns({m: F.bit_or(m).over(down) for m in masks}).withColumn(t2, F.when(exact, F.col(b2)).otherwise(F.lit(-(2**31))))
     enough = seen.filter(sum((F.bit_count(m) for m in masks), F.lit(0)) >= n)
-    bounds = enough.groupBy(*group).agg(F.max(F.struct(b1, b2)).alias(t1)).select(*group, F.col(f"{t1}.{b1}").alias(t1), F.col(f"{t1}.{b2}").alias(t2))
+    bounds = enough.groupBy(*group).agg(F.max(F.struct(b1, t2)).alias(t1)).select(*group, F.col(f"{t1}.{b1}").alias(t1), F.col(f"{t1}.{t2}").alias(t2))
 
     on = [F.col(f"`{k}`") == F.col(g) for k, g in zip(keys, group)]
     kept = rows.join(bounds, on, "left").filter(F.col(t1).isNull() | (F.col(b1) > F.col(t1)) | ((F.col(b1) == F.col(t1)) & (F.col(b2) >= F.col(t2))))

@@ -43,6 +43,18 @@ def test_top_n_equals_brute_force(spark):
     assert top_n_per_group(df, ["t"], [("m", False)], "id", 40).count() == 80
 
 
+def test_top_n_keeps_neighbours_of_one_bucket(spark):
+    rows = [(i, 1, 999, 50.0) for i in range(5)] + [(5, 1, 1000, 2.0)] + [(i, 2, 999, 50.0 - i) for i in range(6)]
+    df = spark.createDataFrame(rows, "id int, t int, m int, a double")
+    got = {(r["t"], r["id"], r["rank"]) for r in top_n_per_group(df, ["t"], [("m", True), ("a", True)], "id", 5).collect()}
+    assert got == {(1, 5, 1), *((1, i, i + 2) for i in range(4)), *((2, i, i + 1) for i in range(5))}
+    real = spark.createDataFrame([(i, 1, 0.5001, 50.0) for i in range(5)] + [(5, 1, 0.5002, 2.0), (6, 1, 0.5003, NAN)], "id int, t int, m double, a double")
+    assert [r["id"] for r in top_n_per_group(real, ["t"], [("m", True), ("a", True)], "id", 3).orderBy("rank").collect()] == [6, 5, 0]
+    big = spark.createDataFrame([(i, 1, 2**53, 50.0) for i in range(5)] + [(5, 1, 2**53 + 1, 2.0)], "id int, t int, m bigint, a double")
+    assert [r["id"] for r in top_n_per_group(big, ["t"], [("m", False), ("a", False)], "id", 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert top_n_per_group(big, ["t"], [("m", True), ("a", True)], "id", 5).orderBy("rank").first()["id"] == 5
+
+
 # --- 2 ----------------------------------------------------------------------
 
 
