@@ -35,18 +35,21 @@ def _any_sink(rules: Sequence[Rule]) -> Column:
 def findings(lines: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULES, around: int = 20) -> DataFrame:
     """(keys, language, line_no, rule_id, kind, level, cwe, text): one finding for each rule and line.
 
-    A rule with a source needs it on the line or in the `around` lines before; one with a safe pattern
+    A rule with a source needs it on the line or fewer than `rule.within` lines before; one with a safe pattern
     is silent if that stands within `around` lines before or after.
     """
     near = Window.partitionBy(*keys).orderBy("line_no")
-    before, both = near.rowsBetween(-around, 0), near.rowsBetween(-around, around)
+    both = near.rowsBetween(-around, around)
+    withins = sorted({max(1, r.within) for r in rules if r.source})
+    needed = near.rowsBetween(-around, max([around, *(w - 1 for w in withins)]))  # a line is needed by the sinks after it
     sink = _any_sink(rules) & ~F.col("text").rlike(COMMENT)
-    marked = lines.withColumn("sink", sink).withColumn("any", F.max("sink").over(both)).filter("any")
-    marked = marked.withColumns({"before": F.array_join(F.collect_list("text").over(before), "\n"), "about": F.array_join(F.collect_list("text").over(both), "\n")}).filter("sink")
+    marked = lines.withColumn("sink", sink).withColumn("any", F.max("sink").over(needed)).filter("any")
+    texts = {f"before_{w}": near.rowsBetween(1 - w, 0) for w in withins} | {"about": both}
+    marked = marked.withColumns({name: F.array_join(F.collect_list("text").over(rows), "\n") for name, rows in texts.items()}).filter("sink")
     # Patterns as literals, each compiled once; a pattern that comes from a row would be compiled for every row.
     hits = [
         F.when(
-            (F.col("language") == r.language) & F.col("text").rlike(r.sink) & (F.col("before").rlike(r.source) if r.source else F.lit(True)) & (~F.col("about").rlike(r.safe) if r.safe else F.lit(True)),
+            (F.col("language") == r.language) & F.col("text").rlike(r.sink) & (F.col(f"before_{max(1, r.within)}").rlike(r.source) if r.source else F.lit(True)) & (~F.col("about").rlike(r.safe) if r.safe else F.lit(True)),
             F.lit(r.rule_id),
         )
         for r in rules

@@ -110,6 +110,19 @@ def test_rules(spark):
     assert done.count() == 4 and done.filter("kind = '命令注入'").select("level").distinct().collect()[0][0] == "中危"
 
 
+def test_rules_look_as_far_back_as_they_say(spark):
+    def code(gap):
+        return "p = sys.argv[1]\n" + "x\n" * (gap - 1) + "os.system(p)" + "\nx" * 30
+
+    files = spark.createDataFrame([(g, "python", code(g)) for g in (1, 20, 21, 48, 49, 50, 80)], "id int, language string, content string")
+    lines = L.lines_of_files(files, ["id"])
+    assert rows(L.findings(lines, ["id"]).filter("rule_id = 'command-python'").select("id", "line_no"), "id") == [(g, g + 1) for g in (1, 20, 21, 48, 49)]
+    near = [L.Rule(f"near{w}", "python", r"os\.system\(", r"sys\.argv", "", "k", "high", "", within=w) for w in (21, 60)]
+    assert [r[0] for r in rows(L.findings(lines, ["id"], near).select("id"), "id")] == [1, 1, 20, 20, 21, 48, 49, 50]
+    safe = spark.createDataFrame([(g, "python", "shlex.quote(p)\n" + "x\n" * (g - 1) + "os.system(sys.argv[1])") for g in (20, 21, 40)], "id int, language string, content string")
+    assert [r[0] for r in rows(L.findings(L.lines_of_files(safe, ["id"]), ["id"]).select("id"), "id")] == [21, 40]
+
+
 def test_nodes():
     got = N.nodes_of('void run(String a) {\n  // exec(1)\n  String s = "exec(2)" + get("x");\n  rt.exec(s);\n}')
     assert [(n[1], n[2], n[5]) for n in got if n[1] != "string"] == [("function", "run", 1), ("call", "get", 3), ("call", "exec", 4)]
