@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.functions import values as V
 from scanloom.operators import graph, near, paths, ranking
 from scanloom.rules import lines as line_rules
 from scanloom.rules import nodes as node_rules
@@ -32,10 +33,15 @@ def rule_findings(spark, d):
 
 
 def rule_findings_finished(spark, d):
-    """The same once for each line and kind, with the catalogue's level, without what was found before."""
-    found = line_rules.findings(_lines(spark, d).filter("language is not null"), ["id"])
-    known = table(spark, d, "vulfile").select("id", F.lit(1).alias("line_no"), F.trim("vultype").alias("kind")).distinct()
-    done = line_rules.finish(found, ["id"], table(spark, d, "subvullist"), known)
+    """The same once for each line and kind, with the catalogue's level, without what was found before: the same kind in the same
+    task, path and file on the first line of a finding's location. A text counts as its file from line 1 on, as nothing says where an
+    excerpt begins."""
+    place = ["taskid", "filepath", "filename"]
+    rows = table(spark, d, "vulfile")
+    of = ranking.keep_first(rows.select("id", *place).filter("id is not null"), ["id"], [F.col("filename"), F.col("filepath"), F.col("taskid")])
+    found = line_rules.findings(_lines(spark, d).filter("language is not null"), ["id"]).join(of, "id")
+    known = rows.select(*place, F.array_min(V.lines_of(F.col("location"))).alias("line_no"), F.col("vultype").alias("kind"))
+    done = line_rules.finish(found, ["id"], table(spark, d, "subvullist"), known, place)
     return done.groupBy("kind", "level").agg(F.count("*").alias("n_findings"), F.countDistinct("id").alias("n_files"))
 
 

@@ -59,14 +59,18 @@ def findings(lines: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULE
     return found.join(F.broadcast(table), "rule_id").select(*keys, "language", "line_no", "rule_id", "kind", "level", "cwe", "text")
 
 
-def finish(found: DataFrame, keys: Sequence[str], catalogue: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def finish(found: DataFrame, keys: Sequence[str], catalogue: DataFrame, known: DataFrame | None = None, place: Sequence[str] | None = None) -> DataFrame:
     """Findings once for each line and kind, with the level that the catalogue (name_cn, level) gives the kind, their own if
-    it doesn't know it, and without those that are known (keys, line_no, kind) already."""
+    it doesn't know it, and without those that are known (place, line_no, kind) already. place: the columns that name a
+    file, keys if not given; a null in them is no place. Kinds are compared without spaces at both ends, in lower case."""
     once = Window.partitionBy(*keys, "line_no", "kind").orderBy("rule_id")
     first = found.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")
     names = catalogue.select(F.trim("name_cn").alias("kind"), F.col("level").alias("listed")).groupBy("kind").agg(F.max("listed").alias("listed"))
     out = first.join(names, "kind", "left").withColumn("level", F.coalesce("listed", "level")).drop("listed")
-    return out.join(known, [*keys, "line_no", "kind"], "left_anti") if known is not None else out
+    if known is None:
+        return out
+    at, kind = [*(place or keys), "line_no"], F.lower(F.trim("kind"))
+    return out.withColumn("known_kind", kind).join(known.select(*at, kind.alias("known_kind")), [*at, "known_kind"], "left_anti").drop("known_kind")
 
 
 def complexity(code: Column) -> Column:

@@ -123,6 +123,22 @@ def test_rules_look_as_far_back_as_they_say(spark):
     assert [r[0] for r in rows(L.findings(L.lines_of_files(safe, ["id"]), ["id"]).select("id"), "id")] == [21, 40]
 
 
+def test_known_findings_by_their_own_line(spark, tmp_path):
+    from scanloom.plans import code
+
+    text = "os.system(sys.argv[1])\n\nos.system(sys.argv[1])\nos.system(sys.argv[1])"
+    found = [(1, 5, "src", "a.py", "[3, 4]", " 命令注入 "), (2, 5, "src", "a.py", "900", "SQL注入"), (3, 5, "lib", "a.py", "900", "命令注入"), (4, None, "src", "a.py", "1", "命令注入"), (5, 6, "src", "a.py", None, "命令注入")]
+    df = spark.createDataFrame([(*r, text) for r in found], "id int, taskid int, filepath string, filename string, location string, vultype string, source_code string")
+    df.write.parquet(str(tmp_path / "vulfile.parquet"))
+    spark.createDataFrame([("命令注入", "高危")], "name_cn string, level string").write.parquet(str(tmp_path / "subvullist.parquet"))
+    # Line 3 of src/a.py in task 5 is known, for both texts of that file; nothing else is, line 1 least of all.
+    assert rows(code.rule_findings_finished(spark, str(tmp_path))) == [("命令注入", "高危", 2 * 2 + 3 * 3, 5)]
+    names = spark.createDataFrame([("x", "y")], "name_cn string, level string")
+    hits = L.findings(L.lines_of_files(df.select("id", F.lit("python").alias("language"), F.col("source_code").alias("content")), ["id"]), ["id"])
+    known = spark.createDataFrame([(1, 3, "命令注入"), (2, 2, "命令注入"), (3, 1, "SQL注入")], "id int, line_no int, kind string")
+    assert rows(L.finish(hits, ["id"], names, known).filter("id <= 3").select("id", "line_no"), "id", "line_no") == [(1, 1), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 3), (3, 4)]
+
+
 def test_nodes():
     got = N.nodes_of('void run(String a) {\n  // exec(1)\n  String s = "exec(2)" + get("x");\n  rt.exec(s);\n}')
     assert [(n[1], n[2], n[5]) for n in got if n[1] != "string"] == [("function", "run", 1), ("call", "get", 3), ("call", "exec", 4)]
