@@ -134,7 +134,15 @@ def is_configuration(filename: str | None) -> bool:
 
 def _no_word(value: str, vocabulary: str) -> bool:
     """Not a plain word or path, as a remark may well hold: with figures, signs or odd capitals in it, or unnatural."""
-    return bool(re.search(r"\d|[^\w.\-/]|[a-z][A-Z]|[A-Z]{2}[a-z]", value)) or chars_per_subword(value, vocabulary) < UNNATURAL / 2
+    return bool(re.search(r"\d|[^\w.\-/]|[a-z][A-Z]|[A-Z]{2}[a-z]", value)) or _unnatural(value, vocabulary)
+
+
+def _unnatural(value: str, vocabulary: str) -> bool:
+    """Fewer characters for each subword than UNNATURAL, its words read as they stand in a sentence, after a blank and in lower
+    case; short words that are a subword each are natural."""
+    words = re.findall(r"[^\W\d_]+", value.lower())
+    n = sum(len(_encoder(vocabulary).encode_ordinary(f" {w}")) for w in words)
+    return n > len(words) and sum(map(len, words)) < UNNATURAL * n
 
 
 def _in_literals(line: str, vocabulary: str) -> Iterator[tuple[int, int, bool]]:

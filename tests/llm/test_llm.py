@@ -155,6 +155,16 @@ def test_no_credentials(text):
     assert C.credentials(text, "a.py") == [] and C.credentials(text, "a.yml") == []
 
 
+def test_credentials_of_letters_in_remarks():
+    rng = random.Random(4)
+    for alphabet, size in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), ("abcdefghijklmnopqrstuvwxyz", 12)):
+        values = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(200)]
+        texts = [f"// old password was {v}" for v in values]
+        assert sum([t[a:b] for a, b in C.credentials(t, "a.java")] == [v] for t, v in zip(texts, values)) == 200
+    for word in ("required", "mandatory", "router", "REQUIRED", "vault-service", "src/db/conn", "read-only", "encrypted", "configuration"):
+        assert C.credentials(f"// the password is {word}", "a.java") == [], word
+
+
 def test_credentials_of_a_table(spark):
     df = spark.createDataFrame([(1, FOUND[0][0], "a.java", 1), (1, FOUND[0][0], "a.java", 2), (2, None, None, 1), (3, "  ", None, 1), (4, "x" * 300_000, "a.py", 1)], "id int, source_code string, filename string, start_pos int")
     assert [tuple(r) for r in C.find_credentials(df, "id", "source_code", "filename").collect()] == [(1, 21, 28)]
