@@ -4,7 +4,8 @@ Two linear support-vector classifiers, one on hashed character n-grams and compo
 character n-grams of the text, score every row. They learn from rows that give themselves away (by a generator's header, a
 conventional name, a body of one pattern), with those headers masked, so that they must learn from the rest; thresholds
 are set on repositories held out. A row counts if its score is clearly high, or is not low and the plain evidence
-agrees; a giveaway header, being masked, speaks for itself.
+agrees; a giveaway header, being masked, speaks for itself. In practice the evidence finds the files, and the scores reject or
+add a handful: the README has the counts.
 """
 
 from __future__ import annotations
