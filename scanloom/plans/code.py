@@ -105,9 +105,9 @@ def complexity_of_code(spark, d):
 
 
 def calls(spark, d):
-    """Calls, functions and literals of the code by language and name, those that occur 20 times or more."""
+    """Calls, functions and literals of the code by language and name."""
     n = node_rules.nodes(_files(spark, d).filter("language is not null"), ["id"])
-    return n.filter("kind <> 'string'").groupBy("language", "kind", "name").agg(F.count("*").alias("n_nodes"), F.countDistinct("id").alias("n_files")).filter("n_nodes >= 20")
+    return n.filter("kind <> 'string'").groupBy("language", "kind", "name").agg(F.count("*").alias("n_nodes"), F.countDistinct("id").alias("n_files"))
 
 
 def tainted_calls(spark, d):
@@ -122,9 +122,12 @@ def tainted_calls(spark, d):
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A graph of the code's calls: calls as nodes, edges from a call to the calls within its arguments."""
     n = cut_nodes(spark, d)
-    key = F.col("id").cast("bigint") * 100_000
-    nodes = n.select((key + F.col("node_id")).alias("id"), F.upper("kind").alias("label"), "name", F.coalesce("args", F.lit("")).alias("code"), "line", F.col("id").cast("string").alias("source_file"))
-    edges = n.filter("in_args_of is not null").select((key + F.col("in_args_of")).alias("src"), (key + F.col("node_id")).alias("dst"))
+
+    def key(node: str):
+        return F.struct("id", F.col(node).alias("node_id"))  # the text's id and the node's, whatever their number
+
+    nodes = n.select(key("node_id").alias("id"), F.upper("kind").alias("label"), "name", F.coalesce("args", F.lit("")).alias("code"), "line", F.col("id").cast("string").alias("source_file"))
+    edges = n.filter("in_args_of is not null").select(key("in_args_of").alias("src"), key("node_id").alias("dst"))
     return nodes, edges
 
 

@@ -139,6 +139,15 @@ def test_known_findings_by_their_own_line(spark, tmp_path):
     assert rows(L.finish(hits, ["id"], names, known).filter("id <= 3").select("id", "line_no"), "id", "line_no") == [(1, 1), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 3), (3, 4)]
 
 
+def test_calls_of_large_texts(spark, tmp_path):
+    from scanloom.plans import code
+
+    texts = [(1, "a.c", "f();\n" * 100_000 + "open(realpath(p));"), (2, "b.c", "open(p);")]
+    spark.createDataFrame(texts, "id int, filename string, source_code string").write.parquet(str(tmp_path / "vulfile.parquet"))
+    assert rows(code.calls(spark, str(tmp_path)), "name") == [("c", "call", "f", 100_000, 1), ("c", "call", "open", 2, 2), ("c", "call", "realpath", 1, 1)]
+    assert rows(code.unguarded_calls(spark, str(tmp_path))) == [("open", 1, 1)]
+
+
 def test_nodes():
     got = N.nodes_of('void run(String a) {\n  // exec(1)\n  String s = "exec(2)" + get("x");\n  rt.exec(s);\n}')
     assert [(n[1], n[2], n[5]) for n in got if n[1] != "string"] == [("function", "run", 1), ("call", "get", 3), ("call", "exec", 4)]
