@@ -1,16 +1,14 @@
-"""Small inputs over all cores."""
+"""Rows over all cores of one machine."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: An input of less than this for each core comes in fewer parts than there are cores, as a rule.
-BYTES_A_CORE = 4 << 20
-
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many parts as there are cores if it is estimated to be small, else as it is; for steps that compute much on
-    each row. Only small inputs are shuffled for it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * BYTES_A_CORE else df
+    """df in as many parts as there are cores if Spark runs on one machine, for steps that compute much on each row: there a
+    file of one or two row groups would keep most cores idle. On a cluster df is left as it is, so that no text is
+    shuffled; there the splits of the scan (spark.sql.files.maxPartitionBytes) say how many tasks there are."""
+    spark = df.sparkSession
+    local = spark.conf.get("spark.master", "").split("[")[0] == "local"
+    return df.repartition(spark.sparkContext.defaultParallelism) if local else df

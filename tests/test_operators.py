@@ -1,5 +1,6 @@
 """Operators on small fixtures, their corner cases among them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from scanloom.functions import values as V
@@ -153,3 +154,42 @@ def test_nodes():
     assert [(n[1], n[2], n[5]) for n in got if n[1] != "string"] == [("function", "run", 1), ("call", "get", 3), ("call", "exec", 4)]
     assert N.nodes_of("") == [] and N.nodes_of(')"(') == []
     assert N.nodes_of("f(" * 2000)[-1][0] == 1999
+
+
+class Session:
+    """As much of a session as is asked for where its master and folder matter."""
+
+    def __init__(self, master, folder=None):
+        self.said = {"spark.master": master, "spark.checkpoint.dir": folder}
+        self.conf = self.sparkContext = self
+        self.folder, self.defaultParallelism, self.sparkSession = None, 5, self
+
+    def get(self, key, default=None):
+        return self.said.get(key) or default
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+    def repartition(self, n):
+        return n
+
+
+def test_folders_and_parts_by_master():
+    from scanloom.plans.lineage import ensure_checkpoint_dir
+    from scanloom.plans.spread import spread
+
+    for master, folder in (("local[4]", None), ("local[4]", "/x"), ("spark://h:7077", "/x"), ("local-cluster[3,2,1000]", "/x")):
+        session = Session(master, folder)
+        ensure_checkpoint_dir(session)
+        assert session.folder and session.folder == (folder or session.folder)
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            ensure_checkpoint_dir(Session(master))
+        assert isinstance(spread(Session(master)), Session)
+    assert spread(Session("local[5]")) == 5
