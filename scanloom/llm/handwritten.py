@@ -1,11 +1,12 @@
 """Files that nobody wrote by hand here: generated, minified or bundled, third-party copies, data saved as code.
 
-Two linear support-vector classifiers, one on hashed character n-grams and components of the path, one on hashed
-character n-grams of the text, score every row. They learn from rows that give themselves away (by a generator's header, a
-conventional name, a body of one pattern), with those headers masked, so that they must learn from the rest; thresholds
-are set on repositories held out. A row counts if its score is clearly high, or is not low and the plain evidence
-agrees; a giveaway header, being masked, speaks for itself. In practice the evidence finds the files, and the scores reject or
-add a handful: the README has the counts.
+Three linear support-vector classifiers on hashed features score every row: one on character n-grams of the name and
+components of the path, one on character n-grams of the text, and one on character n-grams of each comment line. They
+learn from rows that give themselves away (by a generator's header, a conventional name, a body of one pattern).
+Headers are masked in what the text classifier sees, so that it must learn from the rest; only the one of
+comment lines reads them. A classifier is in doubt within its margin, and beyond as far as it errs on repositories that
+are held out from training. Above, a row counts; below, it doesn't, whatever it gives away; in between an exact check of
+the same kind of sign decides. The README has the figures.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from scanloom.plans.spread import spread
 
 BITS = 16
-#: About so many rows are labelled by what they give away, and the classifiers fitted on them.
-SAMPLE = 12_000
+#: About so many rows are labelled by what they give away; the classifiers are fitted on those with a sign and on a share
+#: NONE of those without.
+SAMPLE = 40_000
+NONE = 0.25
 
 # --- evidence ---------------------------------------------------------------
 
@@ -38,7 +41,8 @@ _HEADER = re.compile(
     | 本文件为代码生成器输出 | 自动生成[，,]\s*(?:请勿|不要|勿) | 第三方库.{0,40}原样拷贝""",
     re.M,
 )
-_COMMENT = re.compile(r"^[ \t﻿]*(?://|#|/?\*|<!--|--|;)")
+_COMMENT = re.compile(r"^[ \t\ufeff]*(?://|#|/?\*|<!--|--|;)")
+_REMARK = re.compile(r"(?m)^[ \t\ufeff]*(?://|#(?!include|define)|/?\*|<!--|--|;|\"\"\"|''').*$")
 _CONFIGURATION = re.compile(r"(?i)\.(?:properties|ya?ml|env|conf|cfg|ini|toml|xml|json|config|pem|key|crt|cer|p12|jks|pub)$|^\.env|^id_\w+$|_rsa$|^dockerfile$")
 _GENERATED_NAME = re.compile(r"_pb2?(?:_grpc)?\.\w+$|\.pb(?:-c)?\.\w+$|\.(?:generated|gen|g|designer)\.\w+$|(?<=[a-z0-9])Generated\.\w+$|\$\$Gen\.|_autogen\.\w+$|^(?:moc|qrc|ui)_\w+\.\w+$|OuterClass\.\w+$|Grpc\.\w+$|^R\.java$|(?<=\w)_\.java$|\.cached\.\w+$|^compiled_\w+\.\w+$|^lex\.\w+\.\w+$|\.(?:tab|yy)\.\w+$")
 _MINIFIED_NAME = re.compile(r"[.-]min\.\w+$|^(?:bundle|chunk|vendor|main|app)[.\-](?:[\w]+\.)?[0-9a-f]{2,}\.\w+$|^\w+-[0-9a-f]*\d[0-9a-f]*\.js$|\.(?:bundle|chunk|pack|packed)\.js$")
@@ -93,7 +97,7 @@ def body_evidence(text: str) -> bool:
     for line in lines:
         line = " ".join(line.split())
         numbers = _DIGITS.findall(line)
-        now = (_DIGITS.sub("#", _WORD.sub("a", line)), int(numbers[0][:9])) if numbers else None
+        now = (_DIGITS.sub("#", _WORD.sub("a", line)), int(numbers[0]) if len(numbers[0]) < 300 else 0) if numbers else None
         if now and before and now[0] == before[0] and now[1] == before[1] + 1:
             running += 1
         before = now
@@ -117,6 +121,7 @@ def masked(text: str) -> str:
 # --- features ---------------------------------------------------------------
 
 _SIZES = (3, 4)
+_LINE_SIZES = (3, 4, 5)
 
 
 def _grams(x: np.ndarray, n: int) -> np.ndarray:
@@ -137,43 +142,71 @@ def text_features(text: str) -> np.ndarray:
     return np.concatenate([_grams(x, n) for n in _SIZES])
 
 
+_HEX = re.compile(r"(?<![0-9a-zA-Z])(?:(?=[a-f]*\d)[0-9a-f]{4,}|[a-f]{6,})(?![0-9a-zA-Z])")
+_START = re.compile(r"\W*[a-zA-Z]+[^a-zA-Z]*")
+_END = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+|[\x01\x03])[^a-zA-Z]*$")
+_LAST_TWO = re.compile(r"(?:[A-Z][a-z]+){2}$")
+
+
 def _units(name: str, path: str, libraries) -> list[bytes]:
+    """What the name and path are made of, the telling parts several times; libraries, versions, hexadecimal numbers and figures
+    are one sign each."""
+
     def plain(s: str) -> str:
-        return _DIGITS.sub("9", _VERSION.sub("\x02", libraries.sub("\x01", s)))
+        return _DIGITS.sub("9", _HEX.sub("\x03", _VERSION.sub("\x02", libraries.sub("\x01", s))))
 
     parts = [plain(p) for p in path.split("/")[:-1]]
     name = plain(name)
+    body, _, chain = name.partition(".")
     stem = f"^{re.sub(r'[a-z]{4,}', 'w', name)}$"
-    words = [w for w in re.split(r"[^a-zA-Z\x01\x02]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    words = [w for w in re.split(r"[^a-zA-Z\x01-\x03]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    first, last, two = (m[0] if (m := p.search(body)) else "" for p in (_START, _END, _LAST_TWO))
     whole = [*(f"d:{p}" for p in parts), *(f"e:{a}/{b}" for a, b in zip(parts, parts[1:])), f"f:{parts[0] if parts else ''}", *(f"n:{w}" for w in words)]
-    return [x.encode("utf-8", "replace") for x in [*whole * 4, *(stem[k : k + n] for n in (2, 3, 4) for k in range(len(stem) - n + 1))]]
+    ends = [f"x:{chain}", f"b:{first}+{chain}", f"b:{first}", f"l:{last}", f"l:{last}.{chain}", f"m:{two}", f"s:{re.sub(r'[a-zA-Z]+', 'w', body)}.{chain}"]
+    return [x.encode("utf-8", "replace") for x in [*whole * 4, *ends * 6, *(stem[k : k + n] for n in (2, 3, 4) for k in range(len(stem) - n + 1))]]
 
 
 def path_features(name: str, path: str, libraries) -> np.ndarray:
-    """N-grams of the name with its ends marked and, four times each, its words and the path's components and neighbours;
-    libraries and versions are one sign each."""
+    """N-grams of the name with its ends marked and, several times each, its words, beginning and end, suffixes and the
+    path's components and neighbours."""
     return np.array([zlib.crc32(u) >> (32 - BITS) for u in _units(name, path, libraries)], np.uint32)
 
 
+def remarks(text: str, libraries) -> list[tuple[str, str]]:
+    """The comment lines of a text as they are and as they are scored: in lower case, libraries, versions and figures one sign each."""
+    found = _REMARK.findall(text)
+    return [(x, f"^{_DIGITS.sub('9', _VERSION.sub(chr(2), libraries.sub(chr(1), x.strip()))).lower()}$") for x in found]
+
+
+def line_features(plain: str) -> np.ndarray:
+    x = np.frombuffer(plain.encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    return np.concatenate([_grams(x, n) for n in _LINE_SIZES])
+
+
 @dataclass
 class Classifier:
-    """A linear support-vector classifier on shares of hashed features; low and high bound its doubt."""
+    """A linear support-vector classifier on shares of hashed features, in doubt from low to below high."""
 
     weights: np.ndarray
     bias: float
     low: float = 0.0
     high: float = 0.0
+    sizes: tuple[int, ...] = _SIZES
 
     def score(self, features: np.ndarray) -> float:
         return float(self.weights[features].mean()) + self.bias if len(features) else self.bias
 
+    def counts(self, score: float, sign) -> bool:
+        """By the score alone, or by sign() in doubt."""
+        return bool(score >= self.high or (score >= self.low and sign()))
+
     def score_texts(self, texts: list[str]) -> np.ndarray:
-        """score(text_features(t)) of each text, all at once."""
-        raw = [masked(t).encode("utf-8", "replace") for t in texts]
+        """The score of the n-grams of each text, all at once."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
         sizes = np.array([len(r) for r in raw], np.int64)
         x = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
         total, many = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
-        for n in _SIZES:
+        for n in self.sizes:
             sums = np.concatenate([[0.0], np.cumsum(self.weights[_grams(x, n)], dtype=np.float64)])
             here = np.maximum(sizes - n + 1, 0)
             start = np.minimum(np.cumsum(sizes) - sizes, len(sums) - 1)
@@ -213,13 +246,25 @@ def fit(features: list[np.ndarray], labels: np.ndarray, held: np.ndarray, epochs
     check = np.flatnonzero(held) if held.any() and len(set(labels[held].tolist())) == 2 else np.arange(len(labels))
     scores = np.array([model.score(features[i]) for i in check])
     good, bad = scores[labels[check]], scores[~labels[check]]
-    model.low = float(min(np.quantile(good, 0.002) - 1.0, -1.0)) if len(good) else -1.0
-    model.high = float(max(np.max(bad) + 0.5, 1.0)) if len(bad) else np.inf
+    # Within the margin of 1 a support-vector classifier is in doubt, and as far as it errs on what was held out.
+    model.low = float(min([-1.0, *good]))
+    model.high = float(np.nextafter(max([1.0, *bad]), np.inf))
     return model
 
 
 # --- the operator -----------------------------------------------------------
 
+#: A list of names held by every task may have so many; a longer one is refused.
+MOST_NAMES = 10_000
+
+
+def listed(df: DataFrame) -> list[str]:
+    """The distinct values of a table of one column of names, all of them; more than MOST_NAMES are an error."""
+    rows = df.dropna().distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return [r[0] for r in rows]
+
 
 def _clean(name: str | None, path: str | None) -> tuple[str, str]:
     path = re.sub(r"/+", "/", (path or "").replace("\\", "/").strip())
@@ -233,9 +278,10 @@ def _patterns(libraries: tuple[str, ...]):
     return _library_name(libraries), re.compile(names, re.I)
 
 
-def train(rows: DataFrame, libraries: tuple[str, ...], repos: DataFrame | None = None, sample: int = SAMPLE) -> tuple[Classifier, Classifier]:
-    """The classifiers of path and text, fitted on about `sample` of the rows (key, name, path, text, repo), those of the
-    lowest hash; all if there are no more."""
+def train(rows: DataFrame, libraries: tuple[str, ...], repos: DataFrame | None = None, sample: int = SAMPLE) -> tuple[Classifier, Classifier, Classifier]:
+    """The classifiers of path, text and comment lines, fitted on rows out of about `sample` rows (key, name, path, text, repo),
+    those of the lowest hash; out of all if there are no more."""
+    least = int(NONE * (1 << 16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, _ = _patterns(libraries)
@@ -244,7 +290,8 @@ def train(rows: DataFrame, libraries: tuple[str, ...], repos: DataFrame | None =
             for n, p, t in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 n, p = _clean(n, p)
                 flags.append((gives_away(t or ""), path_evidence(n, p, library), body_evidence(t or "")) if not _CONFIGURATION.search(n) else (False, False, False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in flags], pa.bool_()) for k in range(3))], names=["key", "name", "path", "text", "repo", "header", "by_path", "by_body"])
+            out = pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in flags], pa.bool_()) for k in range(3))], names=["key", "name", "path", "text", "repo", "header", "by_path", "by_body"])
+            yield out.filter(pa.array([any(f) or (k >> 8) % (1 << 16) < least for f, k in zip(flags, batch.column(0).to_pylist())], pa.bool_()))
 
     whole = 1 << 30
     share = min(whole, int(whole * sample / max(1, rows.count())) + 1)
@@ -264,7 +311,10 @@ def train(rows: DataFrame, libraries: tuple[str, ...], repos: DataFrame | None =
     of_path = fit([path_features(*places[i], names) for i in use], path[use], held[use])
     use = np.flatnonzero(body | none)
     of_text = fit([text_features(got["text"].iloc[i] or "") for i in use], body[use], held[use])
-    return of_path, of_text
+    lines = [(plain, bool(_HEADER.search(raw)), held[i]) for i in np.flatnonzero(head | none) for raw, plain in remarks(got["text"].iloc[i] or "", names)]
+    of_line = fit([line_features(x) for x, _, _ in lines], np.array([x[1] for x in lines], bool), np.array([x[2] for x in lines], bool), epochs=6)
+    of_line.sizes = _LINE_SIZES
+    return of_path, of_text, of_line
 
 
 def not_handwritten(
@@ -291,7 +341,7 @@ def not_handwritten(
     rows = df.filter(file.isNotNull()).select(key.alias("key"), file.alias("file"), name.alias("name"), path.alias("path"), text.alias("text"), repo.cast("string").alias("repo"))
     if rows.isEmpty():
         return rows.select(F.col("file").alias(file_col))
-    of_path, of_text = train(rows, libraries, repos, sample)
+    of_path, of_text, of_line = train(rows, libraries, repos, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, names = _patterns(libraries)
@@ -303,22 +353,21 @@ def not_handwritten(
                 place = places.get((n, p))
                 if place is None:
                     name, path = _clean(n, p)
-                    if _CONFIGURATION.search(name):
-                        place = (True, False)
-                    else:
-                        s = of_path.score(path_features(name, path, names))
-                        place = (False, s >= of_path.high or (s >= of_path.low and path_evidence(name, path, library)))
-                    places[n, p] = place
+                    config = bool(_CONFIGURATION.search(name))
+                    yes = not config and of_path.counts(of_path.score(path_features(name, path, names)), lambda: path_evidence(name, path, library))
+                    place = places[n, p] = (config, yes)
                 config, yes = place
                 if not config and not yes and t:
-                    yes = gives_away(t)
-                    if not yes:
-                        open_.append(i)
+                    open_.append(i)
                 hit.append(yes)
             for a in range(0, len(open_), 256):
                 part = open_[a : a + 256]
-                for i, s in zip(part, of_text.score_texts([texts[i] for i in part])):
-                    hit[i] = bool(s >= of_text.high or (s >= of_text.low and body_evidence(texts[i])))
+                lines = [(i, raw, plain) for i in part for raw, plain in remarks(texts[i], names)]
+                for (i, raw, _), s in zip(lines, of_line.score_texts([plain for *_, plain in lines]) if lines else ()):
+                    hit[i] = hit[i] or of_line.counts(s, lambda: _HEADER.search(raw))
+                part = [i for i in part if not hit[i]]
+                for i, s in zip(part, of_text.score_texts([masked(texts[i]) for i in part])):
+                    hit[i] = of_text.counts(s, lambda: body_evidence(texts[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], names=["file"])
 
     kind = df.schema[file_col].dataType.simpleString()

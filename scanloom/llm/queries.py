@@ -34,9 +34,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand here; a repository is the project of the file's task."""
-    from scanloom.llm.handwritten import not_handwritten
+    from scanloom.llm.handwritten import listed, not_handwritten
 
-    libraries = [r["lib_name"] for r in table(spark, sf_dir, "known_library").select("lib_name").limit(10_000).collect()]
+    libraries = listed(table(spark, sf_dir, "known_library").select("lib_name"))
     repos = table(spark, sf_dir, "vuldetail").select("taskid", "itemid")
     return not_handwritten(table(spark, sf_dir, "vulfile"), "fileid", "filename", "filepath", "source_code", "taskid", libraries, repos)
 

@@ -106,7 +106,7 @@ def test_signs_of_files():
     assert not H.body_evidence("") and H.masked("a\n// @generated x\nb") == "a\nb"
 
 
-def test_classifier_on_held_out_repositories(spark):
+def test_classifier_on_held_out_repositories(spark, monkeypatch):
     rng = random.Random(3)
     rows = []
     for i in range(300):
@@ -119,6 +119,35 @@ def test_classifier_on_held_out_repositories(spark):
     got = {r[0] for r in H.not_handwritten(df, "fileid", "filename", "filepath", "code", "repo", ["quillbar"]).collect()}
     assert got == {i for i in range(300) if i % 3 == 0} | {1, 1002}
     assert H.not_handwritten(df.limit(0), "fileid", "filename", "filepath", "code", "repo", []).count() == 0
+    # A row like the others that the plain checks don't see comes out by its score; without the classifiers nothing does.
+    short = "  case 3: return run3(in_, 1);\n  case 9: return do9(in_, 7);\n  case 5: return run5(in_, 2);\n  case 1: return do1(in_, 8);"
+    assert not H.body_evidence(short)
+    more = df.unionByName(spark.createDataFrame([(2000, "g.py", "src/g.py", short, 3)], df.schema))
+
+    def found():
+        return {r[0] for r in H.not_handwritten(more, "fileid", "filename", "filepath", "code", "repo", ["quillbar"]).collect()}
+
+    assert found() == got | {2000}
+    nothing = H.Classifier(H.np.zeros(1 << H.BITS, H.np.float32), -9.0, -1.0, 1.0)
+    monkeypatch.setattr(H, "train", lambda *_: (nothing, nothing, H.Classifier(nothing.weights, -9.0, -1.0, 1.0, H._LINE_SIZES)))
+    assert found() == set()
+
+
+def test_lists_of_names_are_whole_or_refused(spark, monkeypatch):
+    names = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "n string")
+    assert sorted(H.listed(names)) == ["a", "b"]
+    monkeypatch.setattr(H, "MOST_NAMES", 1)
+    with pytest.raises(ValueError):
+        H.listed(names)
+
+
+def test_classifier_keeps_its_doubt_to_the_margin():
+    rng = random.Random(31)
+    rows = [(f"{rng.choice(['run', 'do', 'go'])} {rng.choice('abc')} " * 5, True) for _ in range(80)] + [(f"{rng.choice(['for', 'let'])} {rng.choice('xyz')} " * 5, False) for _ in range(80)]
+    model = H.fit([H.text_features(t) for t, _ in rows], H.np.array([y for _, y in rows]), H.np.array([i % 5 == 0 for i in range(160)]))
+    assert model.low <= -1 and model.high >= 1
+    assert all((s > 0) == y for s, (_, y) in zip(model.score_texts([t for t, _ in rows]), rows))
+    assert model.counts(model.high, lambda: False) and not model.counts(model.low - 0.1, lambda: True) and model.counts(0.0, lambda: True) and not model.counts(0.0, lambda: False)
 
 
 # --- 4 ----------------------------------------------------------------------
