@@ -32,6 +32,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id_a", "id_b")
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding with the least id of the exact copies of its source_code and the number of others that it is nearly the same as."""
+    from scanloom.llm.neardup import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "vulfile"), "id", "source_code", _kind(), threshold=0.6, width=3, min_tokens=30)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand here; a repository is the project of the file's task."""
     from scanloom.llm.handwritten import listed, not_handwritten
@@ -113,6 +120,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
@@ -125,14 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_composition": p8_composition,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "p1_found": """
-        WITH once AS (
-            SELECT id, taskid, lower(trim(vultype)) AS kind, max(max_ccn) AS m, max(CASE WHEN isnan(avgccn) THEN NULL ELSE avgccn END) AS a
-            FROM vulfile WHERE taskid IS NOT NULL AND trim(vultype) <> '' GROUP BY ALL),
-        ranked AS (SELECT id, row_number() OVER (PARTITION BY taskid, kind ORDER BY m DESC NULLS LAST, a DESC NULLS LAST, id) AS r FROM once)
-        SELECT DISTINCT id FROM ranked WHERE r <= 5""",
-    "p2_found": r"""
+#: The SQL that both queries on pairs begin with.
+_RUNS = r"""
         WITH once AS (
             SELECT DISTINCT id, lower(trim(vultype)) AS kind, regexp_extract_all(source_code, '[A-Za-z0-9_]+') AS t
             FROM vulfile WHERE trim(vultype) <> '' AND source_code IS NOT NULL),
@@ -141,8 +143,24 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT id, kind, t, unnest(range(1, len(t) - 1)) AS i FROM once WHERE len(t) >= 30)),
         sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
         met AS (
-            SELECT x.id AS id_a, y.id AS id_b, count(*) AS n FROM runs x JOIN runs y USING (kind, a, b, c) WHERE x.id < y.id GROUP BY ALL)
-        SELECT id_a, id_b FROM met JOIN sizes p ON p.id = id_a JOIN sizes q ON q.id = id_b WHERE met.n >= 0.6 * (p.n + q.n - met.n)""",
+            SELECT x.id AS id_a, y.id AS id_b, count(*) AS n FROM runs x JOIN runs y USING (kind, a, b, c) WHERE x.id < y.id GROUP BY ALL),
+        pairs AS (SELECT id_a, id_b FROM met JOIN sizes p ON p.id = id_a JOIN sizes q ON q.id = id_b WHERE met.n >= 0.6 * (p.n + q.n - met.n))
+        """
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": """
+        WITH once AS (
+            SELECT id, taskid, lower(trim(vultype)) AS kind, max(max_ccn) AS m, max(CASE WHEN isnan(avgccn) THEN NULL ELSE avgccn END) AS a
+            FROM vulfile WHERE taskid IS NOT NULL AND trim(vultype) <> '' GROUP BY ALL),
+        ranked AS (SELECT id, row_number() OVER (PARTITION BY taskid, kind ORDER BY m DESC NULLS LAST, a DESC NULLS LAST, id) AS r FROM once)
+        SELECT DISTINCT id FROM ranked WHERE r <= 5""",
+    "p2_found": _RUNS + "SELECT id_a, id_b FROM pairs",
+    "p2_classes": _RUNS
+    + """,
+        c AS (SELECT DISTINCT v.id, lower(trim(v.vultype)) AS kind, v.source_code FROM vulfile v JOIN sizes s ON s.id = v.id WHERE trim(v.vultype) <> ''),
+        k AS (SELECT id, min(id) OVER (PARTITION BY kind, source_code) AS class_id FROM c),
+        n AS (SELECT id, count(*) AS n FROM (SELECT id_a AS id FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY id)
+        SELECT k.id, k.class_id, coalesce(n.n, 0)::BIGINT AS n_links FROM k LEFT JOIN n ON n.id = k.id""",
     "p5_found": r"""
         WITH RECURSIVE src AS (SELECT DISTINCT id, source_code AS t, length(source_code) AS n FROM vulfile WHERE length(source_code) > 2000),
         piece AS (

@@ -14,7 +14,8 @@ from scanloom.llm import handwritten as H
 from scanloom.llm import mixing as M
 from scanloom.llm import pieces as P
 from scanloom.llm import subjects as S
-from scanloom.llm.neardup import near_duplicate_pairs
+from scanloom.llm import neardup as D
+from scanloom.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from scanloom.llm.topn import top_n_per_group
 
 NAN = float("nan")
@@ -86,6 +87,30 @@ def test_near_duplicates_equal_brute_force(spark):
     got = near_duplicate_pairs(df, "id", "text", F.col("grp"), threshold=0.6, width=3, min_tokens=10, buckets=64).collect()
     assert {(r["id_a"], r["id_b"]) for r in got} == want and len(got) == len(want) > 20
     assert near_duplicate_pairs(df.limit(0), "id", "text", threshold=0.8).count() == 0
+    links = {}
+    for a, b in want:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    firsts = {}
+    for i, t, g in rows:
+        firsts.setdefault((t, g), i)
+    classes = near_duplicate_classes(df, "id", "text", F.col("grp"), threshold=0.6, width=3, min_tokens=10, buckets=64).collect()
+    assert {tuple(r) for r in classes} == {(i, firsts[t, g], links.get(i, 0)) for i, t, g in rows} and len(classes) == len(rows)
+
+
+def test_runs_of_tokens():
+    texts = ["a b c d", "", "A;b\n.C d a b c", "密x y1_Z\U0001f600 x Y1_z w", "q", "a" * 5000 + " b c", "x x x x x"]
+    raw = [t.encode() for t in texts]
+    ends = D.np.cumsum([0, *map(len, raw)])
+    n, runs = D._runs_of(D.np.frombuffer(b"".join(raw), D.np.uint8), ends, D.np.zeros(len(texts), D.np.uint64), 3, 3)
+    parts = D.np.split(runs, D.np.cumsum(n)[:-1])
+
+    def plain(t):
+        w = [x.lower() for x in re.findall("[A-Za-z0-9_]+", t)]
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    assert n.tolist() == [len(plain(t)) for t in texts]
+    for (p, s), (q, t) in combinations(list(zip(parts, texts)), 2):
+        assert len(set(p.tolist()) & set(q.tolist())) == len(plain(s) & plain(t))
 
 
 # --- 3 ----------------------------------------------------------------------
