@@ -1,8 +1,8 @@
 """The first N rows of every group, by score histograms.
 
 A histogram of each group's scores gives a bound below which no row can be among the first N; rows
-below it go before anything is ranked, so a group of a third of all rows sends a handful on. Only the
-rest is ranked exactly, with all tie keys.
+below it go before anything is ranked, so a group of a third of all rows sends a handful on. Bounds are broadcast as
+long as they are few, so that rows go where they are read; only the rest is shuffled and ranked exactly, with all tie keys.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from scanloom.plans.broadcasts import broadcast_if_small
+from scanloom.plans.lineage import cut
 from scanloom.plans.names import fresh
 
 #: Distinct ids that one 64-bit mask is trusted to tell apart; above it, further masks are added.
@@ -83,7 +85,8 @@ def top_n_per_group(
     bounds = enough.groupBy(*group).agg(F.max(F.struct(b1, t2)).alias(t1)).select(*group, F.col(f"{t1}.{b1}").alias(t1), F.col(f"{t1}.{t2}").alias(t2))
 
     on = [F.col(f"`{k}`") == F.col(g) for k, g in zip(keys, group)]
-    kept = rows.join(bounds, on, "left").filter(F.col(t1).isNull() | (F.col(b1) > F.col(t1)) | ((F.col(b1) == F.col(t1)) & (F.col(b2) >= F.col(t2))))
+    # Beyond the size for a broadcast the join is shuffled, and adaptive execution splits the rows of a hot group.
+    kept = rows.join(broadcast_if_small(cut(bounds)), on, "left").filter(F.col(t1).isNull() | (F.col(b1) > F.col(t1)) | ((F.col(b1) == F.col(t1)) & (F.col(b2) >= F.col(t2))))
     by = [_score(df, c).desc_nulls_last() if desc else _score(df, c).asc_nulls_last() for c, desc in order]
     ids = F.col(f"`{id_col}`")
     part = [F.col(f"`{k}`") for k in keys]
