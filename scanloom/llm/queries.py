@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scanloom.sources.tables import table
 
@@ -84,12 +85,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The mix at the largest size at which every source has its share, or as large as all documents are."""
     from scanloom.llm.encode import count_tokens
     from scanloom.llm.mixing import mix_sources
+    from scanloom.plans.lineage import cut
 
     docs = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", "n_tokens")
-    return mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_target"))
+    total = None
+    if whole:
+        docs = cut(docs.drop("text"))
+        total = docs.agg(F.sum("n_tokens")).first()[0] or 0
+    return mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_target"), total)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +109,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p7_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a mix as large as all documents, in which sources that are too small fall short, by how much of their share."""
+    report = _mixed(spark, sf_dir, whole=True)[1]
+    goal = F.sum("target_share").over(Window.partitionBy())
+    return report.withColumn("shortfall", F.greatest(F.lit(0.0), F.coalesce(F.col("target_share") / goal - F.col("actual_share"), F.lit(0.0))))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects that each document's text deals with."""
     from scanloom.llm.subjects import subject_areas
@@ -129,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_shares_whole": p7_shares_whole,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
