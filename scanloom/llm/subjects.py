@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm.handwritten import listed
 from scanloom.plans.lineage import cut
 from scanloom.plans.spread import spread
 
@@ -32,6 +33,8 @@ SURE = 0.6
 #: if enough of its places aren't those of better rules already.
 COVER = 100_000
 _SLACK = 0.02
+#: Phrases and rules are held by the driver and by every task; more than this are refused, and SUPPORT must be raised.
+MOST_RULES = 1_000_000
 
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _LINES = re.compile(r"[\r\n  ]+")
@@ -79,6 +82,12 @@ def phrases(sentence: str) -> set[str]:
     return out
 
 
+def _spaced(sentence: str) -> str:
+    """The words of a sentence, each between blanks, then its Han runs, apart from each other: what stands in it so is what phrases() gives."""
+    plain = _plain(sentence)
+    return f" {' '.join(_words(plain))} \n" + "\n".join(_HAN.findall(plain))
+
+
 def _parts(phrase: str) -> set[str]:
     """The phrases that stand within a phrase."""
     if _HAN.match(phrase):
@@ -110,16 +119,41 @@ class Rules:
     single: dict[str, dict[str, float]] = field(default_factory=dict)
     several: list[tuple[frozenset, str, float]] = field(default_factory=list)
 
+    def __getstate__(self):
+        return self.single, self.several
+
+    def __setstate__(self, state):
+        self.single, self.several = state
+        self._found = None
+
+    _found = None
+
+    def _matcher(self):
+        """All phrases of the rules as one automaton over sentences as _spaced gives them."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for p in {*self.single, *(x for need, _, _ in self.several for x in need)}:
+            found.add_word(p if _HAN.match(p) else f" {p} ", p)
+        if len(found):
+            found.make_automaton()
+        return found
+
     def evidence(self, sentence: str) -> dict[str, float]:
         """The likelihood of each subject that a matching rule speaks for."""
-        found = phrases(sentence)
+        if self._found is None:
+            self._found = self._matcher()
         out: dict[str, float] = {}
+        if not len(self._found):
+            return out
+        found = {p for _, p in self._found.iter(_spaced(sentence))}
         for p in found & self.single.keys():
             for s, like in self.single[p].items():
                 out[s] = max(out.get(s, 0.0), like)
-        for need, s, like in self.several:
-            if need <= found:
-                out[s] = max(out.get(s, 0.0), like)
+        if self.several and len(found) > 1:
+            for need, s, like in self.several:
+                if need <= found:
+                    out[s] = max(out.get(s, 0.0), like)
         return out
 
     def subjects(self, text: str | None, share: float = 0.25, sure: float = SURE) -> list[str]:
@@ -160,7 +194,9 @@ def mine_rules(docs: DataFrame, labels: DataFrame, areas: set[str]) -> Rules:
 
     counted = base.mapInArrow(count, "phrase string, subject string, n bigint").groupBy("phrase", "subject").agg(F.sum("n").alias("n"))
     each = counted.groupBy("phrase").agg(F.max(F.when(F.col("subject") == "", F.col("n"))).alias("n"), F.max(F.when(F.col("subject") != "", F.struct("n", "subject"))).alias("top"))
-    hints = each.filter((F.col("n") >= least) & (F.col("top.n") >= HINT * F.col("n"))).collect()
+    hints = each.filter((F.col("n") >= least) & (F.col("top.n") >= HINT * F.col("n"))).limit(MOST_RULES + 1).collect()
+    if len(hints) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} phrases")
     telling = _telling([(r["phrase"], r["n"], r["top"]["subject"], r["top"]["n"] / r["n"]) for r in hints])
 
     def baskets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +216,12 @@ def mine_rules(docs: DataFrame, labels: DataFrame, areas: set[str]) -> Rules:
         return Rules()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_baskets), minConfidence=HINT, numPartitions=max(2, basket.rdd.getNumPartitions())).fit(basket)
     rules = model.associationRules.filter(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    rows = rules.select("antecedent", F.substring(F.element_at("consequent", 1), 2, 10_000).alias("subject"), "confidence", "support").collect()
+    both = F.col("support") * n_baskets
+    # The likelihood below is no more than this, and a rule that doesn't reach SURE is of no use.
+    rules = rules.filter((both + 2) / (both / F.col("confidence") + 2) >= SURE).select("antecedent", F.expr("substring(consequent[0], 2)").alias("subject"), "confidence", "support")
+    rows = rules.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     share = Counter()
     for r in basket.select(F.explode(F.filter("items", lambda x: x.startswith("="))).alias("c")).groupBy("c").count().collect():
         share[r["c"][1:]] = r["count"] / n_baskets
@@ -242,12 +283,12 @@ def subject_areas(
 
     labels: (id_col, subject, reviewer) of some of the documents, subjects not in areas meaning none. Every document is
     judged by its text, labelled ones too. A null, empty or blank text has no subject; no labels, no subjects.
-    areas is a short list, held by every task; so are the rules, whose number SUPPORT bounds. Ids given twice have each of
+    areas is a list of no more than MOST_NAMES, held by every task; so are the rules, no more than MOST_RULES; longer ones are refused. Ids given twice have each of
     their subjects once. Extra columns are not read.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     given = labels.select(F.col(f"`{id_col}`").alias("id"), "subject", "reviewer")
-    allowed = {r["subject"] for r in areas.select(F.trim("subject").alias("subject")).dropna().distinct().limit(10_000).collect()}
+    allowed = set(listed(areas.select(F.trim("subject").alias("subject"))))
     rules = mine_rules(texts, given, allowed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

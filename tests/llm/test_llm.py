@@ -345,6 +345,16 @@ def test_mix_meets_its_targets(spark):
     assert empty.count() == 0 and nothing.count() == 4
     short = {r["source"]: r["actual_share"] for r in M.mix_sources(df, "id", "src", "n", targets, total=10**9)[1].collect()}
     assert short["c"] > 0
+    cells = spark.createDataFrame([("a", 1.0, 10), ("a", 2.0, 10)], "source string, x double, size int")
+    for steps in (0, 60):  # halvings alone come to the same rates
+        assert abs(M.balanced_rates(cells, {"a": 30.0}, {"a": 9}, steps)["a"] - 0.264497) < 1e-4
+
+
+def test_rates_that_miss_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(M, "_HALVINGS", 0)
+    cells = spark.createDataFrame([("a", 1.0, 10), ("a", 2.0, 10)], "source string, x double, size int")
+    with pytest.raises(ArithmeticError):
+        M.balanced_rates(cells, {"a": 30.0}, {"a": 9}, steps=1)
 
 
 # --- 8 ----------------------------------------------------------------------
@@ -356,6 +366,22 @@ def test_sentences_and_phrases():
     assert S.sentences(None) == [] and S.phrases("") == set()
 
 
+def test_rules_match_as_phrases_do():
+    rng = random.Random(81)
+    words, signs = ["loan", "ledgers", "bond", "loanLedger", "is", "x1", "ledger-bond", "glass"], "贷款台账利息"
+    every = []
+    for _ in range(300):
+        s = " ".join(rng.choice(words) if rng.random() < 0.7 else "".join(rng.choice(signs) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 9)))
+        every.append(s)
+    known = sorted(set().union(*map(S.phrases, every[:60])))
+    rules = S.Rules({p: {"a": 0.7} for p in rng.sample(known, 60)}, [(frozenset(rng.sample(known, 2)), "b", 0.8) for _ in range(60)])
+    for s in every:
+        found = S.phrases(s)
+        want = {k for k, hit in (("a", bool(found & rules.single.keys())), ("b", any(need <= found for need, _, _ in rules.several))) if hit}
+        assert set(rules.evidence(s)) == want, s
+    assert S.Rules().evidence("loan") == {}
+
+
 def test_subjects_of_held_out_documents(spark):
     rng = random.Random(8)
     terms = {"finance": ["loan ledger", "bond coupon", "利息计提"], "law": ["court filing", "judge calendar", "判决书"]}
