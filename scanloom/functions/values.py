@@ -67,6 +67,25 @@ def padded_cwe(number: Column) -> Column:
     return F.when(F.length(number) == 2, F.concat(F.lit("0"), number)).otherwise(number)
 
 
+#: Names of the weaknesses that rules speak of: fixed values.
+WEAKNESSES = {
+    "22": "Path Traversal", "78": "OS Command Injection", "79": "Cross-site Scripting", "89": "SQL Injection", "90": "LDAP Injection", "91": "XML Injection",
+    "93": "CRLF Injection", "94": "Code Injection", "99": "Resource Injection", "15": "External Control of Setting", "16": "Configuration", "200": "Information Exposure", "113": "HTTP Response Splitting", "117": "Log Injection", "120": "Classic Buffer Overflow", "134": "Format String",
+    "235": "Extra Parameters", "259": "Hard-coded Password", "295": "Improper Certificate Validation", "327": "Broken Cryptography", "330": "Insufficient Randomness",
+    "352": "Cross-Site Request Forgery", "400": "Resource Consumption", "489": "Active Debug Code", "502": "Unsafe Deserialization", "601": "Open Redirect",
+    "611": "XML External Entity", "614": "Cookie Without Secure", "643": "XPath Injection", "798": "Hard-coded Credentials", "918": "Server-Side Request Forgery",
+    "346": "Origin Validation Error", "348": "Less Trusted Source", "434": "Unrestricted Upload", "481": "Assigning Instead of Comparing", "540": "Source Code Exposure",
+    "652": "XQuery Injection", "704": "Incorrect Conversion", "710": "Coding Standard", "732": "Incorrect Permission", "776": "XML Entity Expansion", "917": "Expression Language Injection",
+    "942": "Permissive Cross-domain Policy", "943": "NoSQL Injection", "1236": "Formula Injection",
+    "1004": "Cookie Without HttpOnly", "1336": "Template Injection",
+}
+
+
+def weakness_name(number: Column) -> Column:
+    """The name of a weakness by its number, null if it isn't known."""
+    return F.create_map(*[F.lit(x) for pair in WEAKNESSES.items() for x in pair])[F.regexp_replace(number, "^0+", "")]
+
+
 def ascii_punctuation(text: Column) -> Column:
     """Full-width punctuation as ASCII, backslashes as slashes."""
     return F.translate(text, "（），；：“”‘’！？【】《》。\\", "(),;:\"\"''!?[]<>./")
@@ -75,9 +94,9 @@ def ascii_punctuation(text: Column) -> Column:
 def without_comments(code: Column) -> Column:
     """Code of the C family without comments, imports and blank lines."""
     plain = F.regexp_replace(code, r"(?s)/\*.*?\*/", "")
-    plain = F.regexp_replace(plain, r"(?m)//[^\n]*$", "")
-    plain = F.regexp_replace(plain, r"(?m)^\s*(?:import|package|#include|using)\b[^\n]*$", "")
-    return F.regexp_replace(F.regexp_replace(plain, r"\n\s*(?=\n)", ""), r"^\s+|\s+$", "")
+    plain = F.regexp_replace(plain, r"//[^\n]*", "")
+    plain = F.regexp_replace(plain, r"(^|\n)[ \t\r\f]*(?:import|package|#include|using)\b[^\n]*", "$1")
+    return F.regexp_replace(F.regexp_replace(plain, r"\n\s*\n", "\n"), r"^\s+|\s+$", "")
 
 
 def in_order(text: Column, words: list[str]) -> Column:

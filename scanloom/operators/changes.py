@@ -33,6 +33,16 @@ def updated(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFr
     return both.select(*[F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if c in given else F.col(c) for c in table.columns])
 
 
+def activated(table: DataFrame, chosen: Column, flag: str) -> DataFrame:
+    """table with flag 1 on the rows chosen and 0 on all others, so that no more than those are active."""
+    return table.withColumn(flag, F.when(chosen, F.lit(1)).otherwise(F.lit(0)))
+
+
+def children_replaced(table: DataFrame, children: DataFrame, parent: str) -> DataFrame:
+    """table with the children given in place of all that their parents had; other parents keep theirs, null among them."""
+    return table.join(children.select(parent).distinct(), parent, "left_anti").select(*children.columns).unionByName(children)
+
+
 def change_log(table: DataFrame, changes: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """(keys, old_value, new_value) where changes give the column another value, null counting as one."""
     old = table.select(*keys, F.col(column).alias("old_value"))

@@ -38,6 +38,19 @@ def in_scope(scope: str, holds: Column) -> Column:
     return (F.col(scope) == 0) | ((F.col(scope) == 1) & F.coalesce(holds, F.lit(False)))
 
 
+def defaults(df: DataFrame, **values: object) -> DataFrame:
+    """df with a default, a value or a column, in place of null and empty texts of the columns named."""
+    return df.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), v if isinstance(v, Column) else F.lit(v)) for c, v in values.items()})
+
+
+def rank_in(col: Column, values: Sequence[str]) -> Column:
+    """The place of a value in a list that gives an order, from 0 on; what isn't listed comes after all that is."""
+    out = F.lit(len(values))
+    for k, v in reversed(list(enumerate(values))):
+        out = F.when(col == v, F.lit(k)).otherwise(out)
+    return out
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """A page from 1 on; order must end with a unique column, else pages may overlap."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

@@ -85,10 +85,13 @@ def likest_lines(lines: DataFrame, wanted: DataFrame, keys: Sequence[str], text:
 
 def place_of(code: Column, snippet: Column) -> Column:
     """(start_line, end_line) of the first place of a snippet in code, blanks and line ends aside; null if it isn't there."""
-    bare = F.regexp_replace(code, r"\s+", "")
-    at = F.instr(bare, F.regexp_replace(snippet, r"\s+", ""))
+    bare, wanted = F.regexp_replace(code, r"\s+", ""), F.regexp_replace(snippet, r"\s+", "")
+    at = F.instr(bare, wanted)
     sizes = F.transform(F.split(code, r"\r\n|\n|\r"), lambda x: F.length(F.regexp_replace(x, r"\s+", "")))
-    ends = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda s, x: s + x))
-    first = F.size(F.filter(ends, lambda e: e < at)) + 1
-    last = F.size(F.filter(ends, lambda e: e < at + F.length(F.regexp_replace(snippet, r"\s+", "")) - 1)) + 1
-    return F.when((F.length(F.regexp_replace(snippet, r"\s+", "")) > 0) & (at > 0), F.struct(first.alias("start_line"), last.alias("end_line")))
+
+    def line_of(place: Column) -> Column:
+        """One more than the lines that end before a place, counted as their signs are summed up."""
+        start = F.struct(F.lit(0).alias("sum"), F.lit(1).alias("line"))
+        return F.aggregate(sizes, start, lambda s, n: F.struct((s["sum"] + n).alias("sum"), (s["line"] + (s["sum"] + n < place).cast("int")).alias("line")), lambda s: s["line"])
+
+    return F.when((F.length(wanted) > 0) & (at > 0), F.struct(line_of(at).alias("start_line"), line_of(at + F.length(wanted) - 1).alias("end_line")))

@@ -17,6 +17,9 @@ SUFFIXES = {
     "csharp": ("cs",),
     "ruby": ("rb",),
     "xml": ("xml",),
+    "properties": ("properties",),
+    "yaml": ("yml", "yaml"),
+    "text": ("txt",),
 }
 
 

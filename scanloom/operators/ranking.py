@@ -34,6 +34,19 @@ def spaced(df: DataFrame, keys: Sequence[str], line: str, gap: int = 1) -> DataF
     return rows.filter(F.col(before).isNull() | (F.col(line) - F.col(before) > gap)).drop(before)
 
 
+def spaced_emitted(df: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
+    """Rows more than one line after the row last kept, from the first on, one for each line.
+
+    Kept rows depend on each other, but not beyond a gap: within an island of neighbouring lines every second one is kept.
+    """
+    before, island, first = fresh(df, "before", "island", "first")
+    order = Window.partitionBy(*keys).orderBy(line)
+    rows = df.dropDuplicates([*keys, line]).withColumn(before, F.lag(line).over(order))
+    rows = rows.withColumn(island, F.count_if(F.col(before).isNull() | (F.col(line) - F.col(before) > 1)).over(order))
+    rows = rows.withColumn(first, F.min(line).over(Window.partitionBy(*keys, island)))
+    return rows.filter((F.col(line) - F.col(first)) % 2 == 0).drop(before, island, first)
+
+
 def with_context(lines: DataFrame, keys: Sequence[str], line: str, text: str, around: int, name: str = "context") -> DataFrame:
     """Each line with the lines up to `around` before and after it, joined by line feeds."""
     near = Window.partitionBy(*keys).orderBy(line).rowsBetween(-around, around)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.plans import code, dashboards, dataflow
+from scanloom.plans import code, dashboards, dataflow, lists
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**dashboards.QUERIES, **dataflow.QUERIES, **code.QUERIES}
-ORACLE_SQL: dict[str, str] = {**dashboards.ORACLE_SQL, **dataflow.ORACLE_SQL, **code.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**dashboards.QUERIES, **dataflow.QUERIES, **code.QUERIES, **lists.QUERIES}
+ORACLE_SQL: dict[str, str] = {**dashboards.ORACLE_SQL, **dataflow.ORACLE_SQL, **code.ORACLE_SQL, **lists.ORACLE_SQL}

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import values as V
 from scanloom.operators import graph, near, paths, ranking
+from scanloom.plans.spread import spread
+from scanloom.rules import factors
 from scanloom.rules import lines as line_rules
 from scanloom.rules import nodes as node_rules
+from scanloom.rules.catalogue import RULES
 from scanloom.sources.tables import table
 
 _INPUT = r"getParameter|argv|getenv|request\.|req\.|\$_GET|\$_POST|\$_COOKIE|scanf|recv\("
 _SINK = r"\bsystem\(|\bexec\(|executeQuery|\.execute\(|mysqli_query|sendRedirect|\bpopen\(|\beval\("
+#: Factors of risk on a line: what it looks like, and its points.
+_FACTORS = {"joined": (r"\+|\.format\(|%s", 1), "signs": (r"[;|&`$]\s*[a-z\"']", 1), "input": (r"(?i)input|param|arg|query", 2), "shell": (r"(?i)\bsh\b|/bin/|cmd\.exe", 2)}
 _HEADER = r"^\s*(?:public|private|protected|static|def|function|int|void|bool|char|struct|async)\b[^;=]*\("
 _NEEDLES = ("getenv", "strcpy", "sendRedirect", "cursor.execute", "mysqli_query", "innerHTML", "ObjectInputStream", "subprocess")
 
@@ -27,9 +32,15 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return line_rules.lines_of_files(_files(spark, d), ["id"])
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The code of every row, copies of a finding among them: they have one text, so that what is found is put together after."""
+    f = table(spark, d, "vulfile").filter("id is not null")
+    return spread(f.select("id", paths.language_of(F.col("filename")).alias("language"), F.col("source_code").alias("content")))
+
+
 def rule_findings(spark, d):
     """What the rules find, one row for each rule and line."""
-    return line_rules.findings(_lines(spark, d).filter("language is not null"), ["id"]).select("id", "line_no", "rule_id", "kind", "cwe")
+    return line_rules.findings(_texts(spark, d), ["id"]).select("id", "line_no", "rule_id", "kind", "cwe").distinct()
 
 
 def rule_findings_finished(spark, d):
@@ -39,12 +50,18 @@ def rule_findings_finished(spark, d):
     place = ["taskid", "filepath", "filename"]
     rows = table(spark, d, "vulfile")
     of = ranking.keep_first(rows.select("id", *place).filter("id is not null"), ["id"], [F.col("filename"), F.col("filepath"), F.col("taskid")])
-    found = line_rules.findings(_lines(spark, d).filter("language is not null"), ["id"]).join(of, "id")
+    found = line_rules.findings(_texts(spark, d), ["id"]).drop("text").distinct().join(of, "id")
     known = rows.select(*place, F.array_min(V.lines_of(F.col("location"))).alias("line_no"), F.col("vultype").alias("kind"))
     done = line_rules.finish(found, ["id"], table(spark, d, "subvullist"), known, place)
     return done.groupBy("kind", "level").agg(F.count("*").alias("n_findings"), F.countDistinct("id").alias("n_files"))
 
 
+def sinks_scored(spark, d):
+    """Dangerous calls by how many factors of risk they have, with data from outside fewer than 50 lines before."""
+    found = factors.scored(_lines(spark, d).filter("language is not null"), ["id"], _SINK, _FACTORS, _INPUT, 50, 1)
+    return found.select("id", "line_no", "n_factors", "points", "near_source", "level")
+
+
 def needles_in_lines(spark, d):
     """Lines that hold one of a list of texts, each text's lines and files counted."""
     needles = spark.createDataFrame([(n,) for n in _NEEDLES], "needle string")
@@ -146,7 +163,7 @@ def unguarded_calls(spark, d):
     return found.groupBy("name").agg(F.count("*").alias("n_calls"), F.countDistinct("source_file").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (rule_findings, rule_findings_finished, needles_in_lines, sinks_near_input, input_before_sinks, context_of_sinks, functions_of_sinks, next_functions, places_in_code, likest_lines, complexity_of_code, calls, tainted_calls, unguarded_calls)}
+QUERIES = {f.__name__: f for f in (rule_findings, rule_findings_finished, sinks_scored, needles_in_lines, sinks_near_input, input_before_sinks, context_of_sinks, functions_of_sinks, next_functions, places_in_code, likest_lines, complexity_of_code, calls, tainted_calls, unguarded_calls)}
 
 
 def _q(text: str) -> str:
@@ -161,7 +178,38 @@ _FILES = f"""
     a AS (SELECT id, language, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM f WHERE content IS NOT NULL),
     l AS (SELECT id, language, unnest(range(1, len(t) + 1))::INT AS line_no, unnest(t) AS text FROM a)"""
 
+# The rules again, each a search of its own with its patterns as they are.
+_AROUND = f"""{_FILES},
+    w AS MATERIALIZED (SELECT id, language, line_no, text, NOT regexp_matches(text, '^\\s*(?://|/\\*|\\*|#|<!--|--)') OR regexp_matches(text, '^\\s*#\\s*(?:include|define)') AS code,
+        string_agg(text, chr(10)) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS before,
+        string_agg(text, chr(10)) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS about FROM l)"""
+_FOUND = " UNION ALL ".join(
+    f"SELECT id, line_no, {_q(r.rule_id)} AS rule_id, {_q(r.kind)} AS kind, {_q(r.level)} AS level, {_q(r.cwe)} AS cwe FROM w WHERE language = {_q(r.language)} AND code AND regexp_matches(text, {_q(r.sink)})"
+    + (f" AND regexp_matches(before, {_q(r.source)})" if r.source else "")
+    + (f" AND NOT regexp_matches(about, {_q(r.safe)})" if r.safe else "")
+    for r in RULES
+)
+_SCORED = " + ".join(f"regexp_matches(text, {_q(p)})::INT" for p, _ in _FACTORS.values())
+_POINTS = " + ".join(f"{k} * regexp_matches(text, {_q(p)})::INT" for p, k in _FACTORS.values())
+
 ORACLE_SQL = {
+    "rule_findings": f"WITH {_AROUND} SELECT id, line_no, rule_id, kind, cwe FROM ({_FOUND})",
+    "rule_findings_finished": f"""
+        WITH {_AROUND}, r AS ({_FOUND}), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id, line_no, kind ORDER BY rule_id) = 1),
+        v AS (SELECT id, taskid, filepath, filename FROM vulfile WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY filename NULLS FIRST, filepath NULLS FIRST, taskid NULLS FIRST) = 1),
+        k AS (SELECT DISTINCT taskid, filepath, filename, list_min([x::INT FOR x IN regexp_extract_all(location, '\\d+')]) AS line_no, lower(trim(vultype)) AS kind FROM vulfile),
+        c AS (SELECT trim(name_cn) AS kind, max(level) AS listed FROM subvullist GROUP BY 1)
+        SELECT o.kind, coalesce(c.listed, o.level) AS level, count(*) AS n_findings, count(DISTINCT o.id) AS n_files FROM o JOIN v USING (id) LEFT JOIN c ON c.kind = o.kind
+        WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.taskid = v.taskid AND k.filepath = v.filepath AND k.filename = v.filename AND k.line_no = o.line_no AND k.kind = lower(trim(o.kind))) GROUP BY 1, 2""",
+    "sinks_scored": f"""
+        WITH {_FILES}, w AS (SELECT id, line_no, text, bool_or(regexp_matches(text, {_q(_INPUT)})) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS near_source FROM l WHERE language IS NOT NULL),
+        s AS (SELECT id, line_no, ({_SCORED} + near_source::INT)::INT AS n_factors, ({_POINTS} + 2 * near_source::INT)::INT AS points, near_source FROM w WHERE regexp_matches(text, {_q(_SINK)}))
+        SELECT *, CASE WHEN near_source OR n_factors >= 2 THEN 'high' ELSE 'medium' END AS level FROM s WHERE points >= 1""",
+    "places_in_code": """
+        WITH f AS (SELECT DISTINCT id, source_code, regexp_replace(enclosing_method, '\\s+', '', 'g') AS m FROM vulfile WHERE source_code IS NOT NULL AND length(trim(enclosing_method)) > 0),
+        a AS (SELECT id, m, strpos(regexp_replace(source_code, '\\s+', '', 'g'), m) AS p, string_split(replace(replace(source_code, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM f),
+        e AS (SELECT id, m, p, k, sum(length(regexp_replace(x, '\\s+', '', 'g'))) OVER (PARTITION BY id, m, p ORDER BY k) AS upto FROM (SELECT id, m, p, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM a))
+        SELECT id, CASE WHEN max(p) > 0 AND m <> '' THEN (1 + count(*) FILTER (upto < p))::INT END AS start_line, CASE WHEN max(p) > 0 AND m <> '' THEN (1 + count(*) FILTER (upto < p + length(m) - 1))::INT END AS end_line FROM e GROUP BY id, m, p""",
     "needles_in_lines": f"WITH {_FILES}, n AS (SELECT unnest([{', '.join(map(_q, _NEEDLES))}]) AS needle) SELECT needle, count(*) AS n_lines, count(DISTINCT id) AS n_files FROM l JOIN n ON contains(text, needle) GROUP BY 1",
     "sinks_near_input": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no AS source_line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, i.source_line_no FROM s JOIN i ON s.id = i.id AND i.source_line_no < s.line_no AND s.line_no - i.source_line_no < 50",
     "input_before_sinks": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, (SELECT max(i.line_no) FROM i WHERE i.id = s.id AND i.line_no < s.line_no) AS source_line FROM s",

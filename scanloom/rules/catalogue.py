@@ -134,6 +134,95 @@ _FAMILIES: dict[str, tuple[str, str, str, dict[str, tuple[str, str]]]] = {
         "java": (r"Transport\.send\(|setRecipients?\(", r"InternetAddress\.parse"),
         "javascript": (r"sendMail\(", r"validator\.isEmail"),
     }),
+    "code": ("动态代码注入", "high", "CWE-94", {
+        "java": (r"ScriptEngine|GroovyShell|\.eval\(", r"allowList|Pattern\.matches"),
+        "c": (r"\bdlopen\s*\(|\bdlsym\s*\(", r"realpath|strncmp"),
+        "cpp": (r"\bdlopen\s*\(|LoadLibrary\w*\s*\(", r"realpath|canonical"),
+        "python": (r"\bexec\(|\bcompile\(|__import__\(|importlib\.import_module\(", r"literal_eval|allow_list"),
+        "javascript": (r"\beval\(|new Function\(|vm\.runIn\w+\(|setTimeout\(\s*['\"]", r"JSON\.parse|allowList"),
+        "php": (r"\beval\s*\(|create_function\s*\(|\bassert\s*\(", r"in_array|ctype_alnum"),
+    }),
+    "spring": ("Spring表达式注入", "high", "CWE-94", {
+        "java": (r"StandardEvaluationContext|parseExpression\(|@Value\(\"#\{", r"SimpleEvaluationContext|forReadOnlyDataBinding"),
+    }),
+    "resource": ("资源注入", "medium", "CWE-99", {
+        "java": (r"new (?:Server)?Socket\(|InetSocketAddress\(", r"allowedPorts|allowedHosts"),
+        "c": (r"\bconnect\s*\(|\bbind\s*\(", r"allowed_port|inet_pton"),
+        "cpp": (r"\bconnect\s*\(|\bbind\s*\(", r"allowed_port|inet_pton"),
+        "python": (r"\.connect\(\s*\(|create_connection\(", r"allowed_hosts|ip_address\("),
+        "javascript": (r"net\.(?:connect|createConnection)\(", r"allowedHosts|net\.isIP"),
+        "php": (r"\bfsockopen\s*\(|stream_socket_client\s*\(", r"in_array|filter_var"),
+    }),
+    "expansion": ("XML实体扩展注入", "medium", "CWE-776", {
+        "java": (r"DocumentBuilderFactory|SAXParserFactory|XMLReaderFactory", r"setExpandEntityReferences\(false|disallow-doctype-decl"),
+        "c": (r"XML_PARSE_HUGE|XML_PARSE_NOENT", r"xmlCtxtSetMaxAmplification|XML_PARSE_NONET"),
+        "cpp": (r"XML_PARSE_HUGE|XML_PARSE_NOENT|setEntityExpansionLimit\(\s*0", r"XML_PARSE_NONET|setEntityExpansionLimit\(\s*[1-9]"),
+        "javascript": (r"noent:\s*true|huge:\s*true", r"huge:\s*false|noent:\s*false"),
+        "python": (r"huge_tree\s*=\s*True|xml\.sax\.", r"defusedxml|huge_tree\s*=\s*False"),
+        "php": (r"LIBXML_NOENT|LIBXML_PARSEHUGE", r"LIBXML_NONET"),
+    }),
+    "json_object": ("不安全的JSON反序列化", "high", "CWE-502", {
+        "java": (r"JSON\.parse(?:Object)?\(|enableDefaultTyping\(|\.readValue\(", r"setSafeMode\(true|PolymorphicTypeValidator"),
+        "python": (r"jsonpickle\.decode\(", r"safe=True"),
+        "javascript": (r"Object\.assign\(.*JSON\.parse|_\.merge\(.*JSON\.parse", r"Object\.create\(null|schema\.validate"),
+        "php": (r"json_decode\(", r"JSON_THROW_ON_ERROR|json_last_error"),
+        "cpp": (r"json::parse\(|Json::Reader", r"accept\(|schema"),
+        "c": (r"cJSON_Parse\s*\(|json_tokener_parse\s*\(", r"cJSON_IsObject|json_object_is_type"),
+    }),
+    "json": ("JSON注入", "medium", "CWE-91", {
+        "java": (r"\"\{\\\"\w+\\\"\s*:[^+]*\"\s*\+", r"JSONObject\(|ObjectMapper"),
+        "python": (r"['\"]\{\\?\"\w+\\?\"\s*:[^'%+]*['\"]\s*(?:%|\+)", r"json\.dumps"),
+        "javascript": (r"['\"`]\{\\?\"\w+\\?\"\s*:[^'`+$]*(?:['\"]\s*\+|\$\{)", r"JSON\.stringify"),
+        "php": (r"['\"]\{\\?\"\w+\\?\"\s*:[^'.]*['\"]\s*\.", r"json_encode"),
+        "c": (r"printf\s*\(.*\{\\\"\w+\\\"\s*:[^,]*%s", r"cJSON_Create|json_object_new"),
+        "cpp": (r"\"\{\\\"\w+\\\"\s*:[^+<]*\"\s*(?:\+|<<)", r"json::object|dump\("),
+    }),
+    "setting": ("设置篡改", "medium", "CWE-15", {
+        "java": (r"System\.setProperty\(|\.setCatalog\(", r"allowedKeys|allowList"),
+        "c": (r"\b(?:setenv|putenv|sethostid)\s*\(", r"allowed_key|strcmp"),
+        "cpp": (r"\b(?:setenv|putenv)\s*\(|SetEnvironmentVariable", r"allowed_key|allowedKeys"),
+        "python": (r"os\.environ\[.*\]\s*=|os\.putenv\(|setattr\(\s*settings", r"allowed_keys|allow_list"),
+        "javascript": (r"process\.env(?:\.\w+|\[.*\])\s*=[^=]|app\.set\(", r"allowedKeys"),
+        "php": (r"\bini_set\s*\(|\bputenv\s*\(", r"in_array"),
+    }),
+    "ldap": ("LDAP注入", "high", "CWE-90", {
+        "java": (r"(?:ctx|context|ldapTemplate)\.search\(|DirContext", r"encodeForLDAP|LdapEncoder"),
+        "python": (r"\.search_s\(|\.search_ext\(", r"escape_filter_chars"),
+        "php": (r"\bldap_(?:search|list|read)\s*\(", r"ldap_escape"),
+        "javascript": (r"ldapClient\.search\(|client\.search\(", r"ldap-escape|EqualityFilter"),
+    }),
+    "xpath": ("XPath注入", "high", "CWE-643", {
+        "java": (r"[xX][pP]ath\.(?:evaluate|compile)\(|selectNodes\(", r"setXPathVariableResolver"),
+        "python": (r"\.xpath\(|\.findall\(.*\+", r"XPathEvaluator|variables="),
+        "php": (r"->xpath\(|DOMXPath", r"htmlspecialchars|addslashes"),
+        "javascript": (r"xpath\.(?:select|parse|evaluate)\(", r"variables:"),
+    }),
+    "xquery": ("XQuery注入", "high", "CWE-652", {"java": (r"XQ(?:Prepared)?Expression|xqc?\.executeQuery\(", r"bindString\(|bindItem\(")}),
+    "ognl": ("OGNL表达式注入", "high", "CWE-917", {"java": (r"Ognl\.(?:getValue|setValue|parseExpression)\(|OgnlUtil", r"SecurityMemberAccess|excludedClasses")}),
+    "nosql": ("NoSQL注入", "high", "CWE-943", {
+        "java": (r"new BasicDBObject\(|BasicQuery\(|Document\.parse\(", r"Filters\.eq|Criteria\.where"),
+        "python": (r"\.find(?:_one)?\(|\$where", r"isinstance\(|ObjectId\("),
+        "javascript": (r"\.(?:find|findOne|updateOne|aggregate)\(|\$where", r"mongo-sanitize|String\("),
+        "php": (r"->(?:find|findOne|executeQuery)\(", r"is_string|\(string\)"),
+    }),
+    "jsonp": ("JSONP劫持", "low", "CWE-346", {
+        "java": (r"callback\s*\+\s*\"\(|JSONPObject\(", r"Referer|matches\("),
+        "python": (r"callback\s*\+\s*['\"]\(", r"referer|isidentifier"),
+        "javascript": (r"res\.jsonp\(|callback\s*\+\s*['\"]\(", r"referer|/\^"),
+        "php": (r"\$callback\s*\.\s*['\"]\(", r"HTTP_REFERER|preg_match"),
+    }),
+    "upload": ("任意文件上传", "high", "CWE-434", {
+        "java": (r"\.transferTo\(|MultipartFile", r"getContentType|endsWith\("),
+        "python": (r"\.save\(.*filename|request\.FILES|request\.files", r"secure_filename|ALLOWED_EXTENSIONS"),
+        "javascript": (r"\bmulter\(|\.mv\(", r"fileFilter|mimetype"),
+        "php": (r"move_uploaded_file\s*\(", r"pathinfo|getimagesize"),
+    }),
+    "formula": ("公式注入", "low", "CWE-1236", {
+        "java": (r"\.setCellValue\(|\.setCellFormula\(", r"escapeFormula|startsWith\(\"="),
+        "python": (r"\.writerow\(|\.cell\(", r"lstrip\(|escape_formula"),
+        "javascript": (r"\.addRow\(|aoa_to_sheet\(", r"escapeFormula"),
+        "php": (r"\bfputcsv\s*\(|setCellValue\(", r"ltrim\("),
+    }),
     "parameter": ("HTTP参数污染", "medium", "CWE-235", {
         "python": (r"getlist\(|urlencode\(", r"set\("),
         "javascript": (r"querystring\.stringify\(|URLSearchParams\(", r"Array\.isArray"),
@@ -188,6 +277,45 @@ _ALWAYS: dict[str, tuple[str, str, str, dict[str, tuple[str, str]]]] = {
         "c": (r"__LINE__.*printf", r"NDEBUG"),
         "cpp": (r"__LINE__.*cout", r"NDEBUG"),
     }),
+    "csrf": ("跨站请求伪造", "medium", "CWE-352", {
+        "java": (r"csrf\(\)\.disable\(|csrf\.disable\(|AbstractHttpConfigurer::disable", r"CookieCsrfTokenRepository"),
+        "python": (r"@csrf_exempt|WTF_CSRF_ENABLED\s*=\s*False", r"csrf_protect"),
+        "javascript": (r"csrf:\s*false|csrfProtection:\s*false", r"csurf\("),
+        "php": (r"VerifyCsrfToken.*except|csrf_protection\s*=\s*FALSE", r"csrf_token\("),
+    }),
+    "cors": ("跨域资源共享配置过宽", "medium", "CWE-942", {
+        "java": (r"addAllowedOrigin\(\"\*|allowedOrigins\(\"\*|Access-Control-Allow-Origin\",\s*\"\*", r"allowedOriginPatterns"),
+        "python": (r"CORS_ORIGIN_ALLOW_ALL\s*=\s*True|Access-Control-Allow-Origin['\"]\]?\s*[=:,]\s*['\"]\*", r"CORS_ALLOWED_ORIGINS"),
+        "javascript": (r"origin:\s*['\"]\*|Access-Control-Allow-Origin['\"]\s*[,:]\s*['\"]\*", r"allowedOrigins"),
+        "php": (r"Access-Control-Allow-Origin:\s*\*", r"in_array"),
+    }),
+    "forwarded": ("X-Forwarded-For伪造", "low", "CWE-348", {
+        "java": (r"(?i)getHeader\(\"x-forwarded-for", r"trustedProxies|isTrustedProxy"),
+        "python": (r"HTTP_X_FORWARDED_FOR|X-Forwarded-For", r"ProxyFix|trusted_proxies"),
+        "javascript": (r"(?i)x-forwarded-for", r"trust proxy|trustedProxies"),
+        "php": (r"HTTP_X_FORWARDED_FOR", r"trusted_proxies|filter_var"),
+    }),
+    "permission": ("文件权限过宽", "medium", "CWE-732", {
+        "java": (r"set(?:Readable|Writable|Executable)\(true,\s*false|rwxrwxrwx", r"rw-------"),
+        "c": (r"\bchmod\s*\([^)]*0?777|\bumask\s*\(\s*0+\s*\)", r"S_IRUSR|0600"),
+        "cpp": (r"\bchmod\s*\([^)]*0?777|\bumask\s*\(\s*0+\s*\)|perms::all", r"owner_read|0600"),
+        "python": (r"os\.chmod\([^)]*0o?777|os\.umask\(\s*0\s*\)", r"0o600|S_IRUSR"),
+        "javascript": (r"chmod(?:Sync)?\([^)]*0o?777", r"0o600"),
+        "php": (r"\bchmod\s*\([^)]*0?777", r"0600"),
+    }),
+    "bundle": ("构建配置泄露源码", "low", "CWE-540", {
+        "javascript": (r"devtool:\s*['\"](?:eval|source-map|inline)|sourcemap:\s*true|productionSourceMap:\s*true|disableHostCheck:\s*true|host:\s*['\"]0\.0\.0\.0", r"hidden-source-map|NODE_ENV"),
+    }),
+    "boot": ("Spring Boot配置不当", "medium", "CWE-16", {
+        "properties": (r"exposure\.include\s*=\s*\*|h2\.console\.enabled\s*=\s*true|include-stacktrace\s*=\s*always|shutdown\.enabled\s*=\s*true", r"exposure\.exclude|security\.user"),
+        "yaml": (r"^\s*include:\s*['\"]?\*|include-stacktrace:\s*always", r"(?m)^\s*exclude:|security:"),
+    }),
+    "robots": ("robots配置泄露路径", "low", "CWE-200", {"text": (r"(?i)^\s*disallow:\s*/\S*(?:admin|backup|private|config|secret)", r"(?im)^\s*disallow:\s*/\s*$")}),
+    "conversion": ("不安全的类型转换", "low", "CWE-704", {
+        "cpp": (r"reinterpret_cast<|const_cast<|\(\s*(?:unsigned\s+)?(?:char|int|short|long|void|float|double)\s*\*\s*\)", r"static_assert|bit_cast"),
+    }),
+    "coding": ("编码规范违反", "low", "CWE-710", {"cpp": (r"\bgoto\s+\w+\s*;|\bsetjmp\s*\(|\blongjmp\s*\(|#define\s+\w+\([^)]*\)", r"NOLINT|#undef")}),
+    "condition": ("条件中赋值", "low", "CWE-481", {"cpp": (r"\b(?:if|while)\s*\(\s*\w+\s*=\s*[^=]", r"NOLINT|\(\(")}),
     "mybatis": ("MyBatis拼接", "high", "CWE-89", {"xml": (r"(?i)(?:order by|like|from|where|in)\b[^<]*\$\{", r"#\{")}),
     "secret": ("硬编码密码", "medium", "CWE-798", {
         lang: (r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api_?key)[\"']?\]?\s*(?:=>|=|:)\s*[\"'][^\"'$<{]{8,}[\"']", r"(?i)getenv|environ|example|placeholder|changeme")

@@ -1,8 +1,8 @@
 """Rules over lines of code.
 
 One alternation of all sinks of a language goes over the lines; only lines that pass meet the rules, a table of a
-few hundred rows that every executor holds. What comes from outside and what makes safe is looked for in a window
-of lines around, in the same sort.
+few hundred rows that every executor holds. What comes from outside and what makes safe is looked for in the lines
+around, which are taken from the array of the file's lines.
 """
 
 from __future__ import annotations
@@ -17,35 +17,41 @@ from pyspark.sql.window import Window
 from scanloom.rules.catalogue import RULES, Rule
 
 #: Lines that begin so hold no code.
+LINE_END = r"\r\n|\n|\r"
 COMMENT = r"^\s*(?://|/\*|\*|#(?!\s*(?:include|define))|<!--|--)"
 
 
 def lines_of_files(files: DataFrame, keys: Sequence[str], text: str = "content") -> DataFrame:
     """(keys, language, line_no, text) of the lines of files (keys, language, text), numbered from 1."""
-    return files.filter(F.col(text).isNotNull()).select(*keys, "language", F.posexplode(F.split(F.col(text), r"\r\n|\n|\r")).alias("pos", "text")).select(*keys, "language", (F.col("pos") + 1).alias("line_no"), "text")
+    return files.filter(F.col(text).isNotNull()).select(*keys, "language", F.posexplode(F.split(F.col(text), LINE_END)).alias("pos", "text")).select(*keys, "language", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def _any_sink(rules: Sequence[Rule]) -> Column:
+def _any_sink(rules: Sequence[Rule], text: Column) -> Column:
     by: dict[str, list[str]] = {}
     for r in rules:
         by.setdefault(r.language, []).append(f"(?:{r.sink})")
-    return reduce(lambda a, b: a | b, ((F.col("language") == lang) & F.col("text").rlike("|".join(p)) for lang, p in by.items()), F.lit(False))
+    return reduce(lambda a, b: a | b, ((F.col("language") == lang) & text.rlike("|".join(p)) for lang, p in by.items()), F.lit(False))
 
 
-def findings(lines: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULES, around: int = 20) -> DataFrame:
-    """(keys, language, line_no, rule_id, kind, level, cwe, text): one finding for each rule and line.
+def findings(files: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULES, around: int = 20, text: str = "content") -> DataFrame:
+    """(keys, language, line_no, rule_id, kind, level, cwe, text) of files (keys, language, text): one finding for each rule and line.
 
     A rule with a source needs it on the line or fewer than `rule.within` lines before; one with a safe pattern
-    is silent if that stands within `around` lines before or after.
+    is silent if that stands within `around` lines before or after. A file's lines stay one array: the lines around are
+    joined for lines with a sink alone, and nothing is shuffled. A null text or language has no finding.
     """
-    near = Window.partitionBy(*keys).orderBy("line_no")
-    both = near.rowsBetween(-around, around)
+    rows = files.filter(F.col(text).isNotNull() & F.col("language").isin(sorted({r.language for r in rules}))).select(*keys, "language", F.split(F.col(text), LINE_END).alias("all"))
     withins = sorted({max(1, r.within) for r in rules if r.source})
-    needed = near.rowsBetween(-around, max([around, *(w - 1 for w in withins)]))  # a line is needed by the sinks after it
-    sink = _any_sink(rules) & ~F.col("text").rlike(COMMENT)
-    marked = lines.withColumn("sink", sink).withColumn("any", F.max("sink").over(needed)).filter("any")
-    texts = {f"before_{w}": near.rowsBetween(1 - w, 0) for w in withins} | {"about": both}
-    marked = marked.withColumns({name: F.array_join(F.collect_list("text").over(rows), "\n") for name, rows in texts.items()}).filter("sink")
+    sinks = F.filter(F.transform("all", lambda x, i: F.when(_any_sink(rules, x) & ~x.rlike(COMMENT), i)), lambda i: i.isNotNull())
+
+    def around_line(i: Column, before: int, after: int) -> Column:
+        start = F.greatest(i - before, F.lit(0))
+        return F.array_join(F.slice("all", start + 1, i + after - start + 1), "\n")
+
+    near = [around_line(F.col("i"), w - 1, 0).alias(f"before_{w}") for w in withins]
+    # explode would make Spark check each list first, and so build it twice.
+    hit = rows.select(*keys, "language", "all", F.explode_outer(sinks).alias("i")).filter("i is not null")
+    marked = hit.select(*keys, "language", (F.col("i") + 1).alias("line_no"), F.get("all", F.col("i")).alias("text"), *near, around_line(F.col("i"), around, around).alias("about"))
     # Patterns as literals, each compiled once; a pattern that comes from a row would be compiled for every row.
     hits = [
         F.when(
@@ -54,8 +60,8 @@ def findings(lines: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULE
         )
         for r in rules
     ]
-    found = marked.select(*keys, "language", "line_no", "text", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
-    table = lines.sparkSession.createDataFrame([(r.rule_id, r.kind, r.level, r.cwe) for r in rules], "rule_id string, kind string, level string, cwe string")
+    found = marked.select(*keys, "language", "line_no", "text", F.explode_outer(F.array_compact(F.array(*hits))).alias("rule_id")).filter("rule_id is not null")
+    table = files.sparkSession.createDataFrame([(r.rule_id, r.kind, r.level, r.cwe) for r in rules], "rule_id string, kind string, level string, cwe string")
     return found.join(F.broadcast(table), "rule_id").select(*keys, "language", "line_no", "rule_id", "kind", "level", "cwe", "text")
 
 

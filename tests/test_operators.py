@@ -101,7 +101,7 @@ CODE = {
 
 def test_rules(spark):
     files = spark.createDataFrame([(i, lang, code) for i, (lang, (code, _)) in enumerate(CODE.items())] + [(9, "java", 'Cookie c = new Cookie("a", "b");\nc.setHttpOnly(true);\nc.setSecure(true);'), (10, "java", None), (11, "java", "")], "id int, language string, content string")
-    found = L.findings(L.lines_of_files(files, ["id"]), ["id"])
+    found = L.findings(files, ["id"])
     by = {}
     for r in found.collect():
         by.setdefault(r["id"], set()).add(r["rule_id"])
@@ -116,12 +116,11 @@ def test_rules_look_as_far_back_as_they_say(spark):
         return "p = sys.argv[1]\n" + "x\n" * (gap - 1) + "os.system(p)" + "\nx" * 30
 
     files = spark.createDataFrame([(g, "python", code(g)) for g in (1, 20, 21, 48, 49, 50, 80)], "id int, language string, content string")
-    lines = L.lines_of_files(files, ["id"])
-    assert rows(L.findings(lines, ["id"]).filter("rule_id = 'command-python'").select("id", "line_no"), "id") == [(g, g + 1) for g in (1, 20, 21, 48, 49)]
+    assert rows(L.findings(files, ["id"]).filter("rule_id = 'command-python'").select("id", "line_no"), "id") == [(g, g + 1) for g in (1, 20, 21, 48, 49)]
     near = [L.Rule(f"near{w}", "python", r"os\.system\(", r"sys\.argv", "", "k", "high", "", within=w) for w in (21, 60)]
-    assert [r[0] for r in rows(L.findings(lines, ["id"], near).select("id"), "id")] == [1, 1, 20, 20, 21, 48, 49, 50]
+    assert [r[0] for r in rows(L.findings(files, ["id"], near).select("id"), "id")] == [1, 1, 20, 20, 21, 48, 49, 50]
     safe = spark.createDataFrame([(g, "python", "shlex.quote(p)\n" + "x\n" * (g - 1) + "os.system(sys.argv[1])") for g in (20, 21, 40)], "id int, language string, content string")
-    assert [r[0] for r in rows(L.findings(L.lines_of_files(safe, ["id"]), ["id"]).select("id"), "id")] == [21, 40]
+    assert [r[0] for r in rows(L.findings(safe, ["id"]).select("id"), "id")] == [21, 40]
 
 
 def test_known_findings_by_their_own_line(spark, tmp_path):
@@ -135,7 +134,7 @@ def test_known_findings_by_their_own_line(spark, tmp_path):
     # Line 3 of src/a.py in task 5 is known, for both texts of that file; nothing else is, line 1 least of all.
     assert rows(code.rule_findings_finished(spark, str(tmp_path))) == [("命令注入", "高危", 2 * 2 + 3 * 3, 5)]
     names = spark.createDataFrame([("x", "y")], "name_cn string, level string")
-    hits = L.findings(L.lines_of_files(df.select("id", F.lit("python").alias("language"), F.col("source_code").alias("content")), ["id"]), ["id"])
+    hits = L.findings(df.select("id", F.lit("python").alias("language"), F.col("source_code").alias("content")), ["id"])
     known = spark.createDataFrame([(1, 3, "命令注入"), (2, 2, "命令注入"), (3, 1, "SQL注入")], "id int, line_no int, kind string")
     assert rows(L.finish(hits, ["id"], names, known).filter("id <= 3").select("id", "line_no"), "id", "line_no") == [(1, 1), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 3), (3, 4)]
 
