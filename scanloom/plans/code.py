@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import values as V
 from scanloom.operators import graph, near, paths, ranking
+from scanloom.plans import sqltext
 from scanloom.plans.spread import spread
 from scanloom.rules import factors
 from scanloom.rules import lines as line_rules
@@ -170,11 +171,9 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_SUFFIXES = " ".join(f"WHEN s IN ({', '.join(map(_q, v))}) THEN '{k}'" for k, v in paths.SUFFIXES.items())
 _FILES = f"""
-    f0 AS (SELECT id, filename, source_code AS content, lower(regexp_extract(regexp_extract(replace(filename, '\\', '/'), '[^/]*$'), '\\.([^.]+)$', 1)) AS s FROM vulfile
-        WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY filename NULLS FIRST, source_code NULLS FIRST) = 1),
-    f AS (SELECT id, content, CASE {_SUFFIXES} END AS language FROM f0),
+    f0 AS (SELECT id, filename, source_code AS content FROM vulfile WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY filename NULLS FIRST, source_code NULLS FIRST) = 1),
+    f AS (SELECT id, content, {sqltext.language('filename')} AS language FROM f0),
     a AS (SELECT id, language, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM f WHERE content IS NOT NULL),
     l AS (SELECT id, language, unnest(range(1, len(t) + 1))::INT AS line_no, unnest(t) AS text FROM a)"""
 
@@ -202,8 +201,8 @@ ORACLE_SQL = {
         SELECT o.kind, coalesce(c.listed, o.level) AS level, count(*) AS n_findings, count(DISTINCT o.id) AS n_files FROM o JOIN v USING (id) LEFT JOIN c ON c.kind = o.kind
         WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.taskid = v.taskid AND k.filepath = v.filepath AND k.filename = v.filename AND k.line_no = o.line_no AND k.kind = lower(trim(o.kind))) GROUP BY 1, 2""",
     "sinks_scored": f"""
-        WITH {_FILES}, w AS (SELECT id, line_no, text, bool_or(regexp_matches(text, {_q(_INPUT)})) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS near_source FROM l WHERE language IS NOT NULL),
-        s AS (SELECT id, line_no, ({_SCORED} + near_source::INT)::INT AS n_factors, ({_POINTS} + 2 * near_source::INT)::INT AS points, near_source FROM w WHERE regexp_matches(text, {_q(_SINK)}))
+        WITH {_FILES}, w AS (SELECT id, line_no, text, bool_or(regexp_matches(text, {sqltext.INPUT})) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS near_source FROM l WHERE language IS NOT NULL),
+        s AS (SELECT id, line_no, ({_SCORED} + near_source::INT)::INT AS n_factors, ({_POINTS} + 2 * near_source::INT)::INT AS points, near_source FROM w WHERE regexp_matches(text, {sqltext.SINK}))
         SELECT *, CASE WHEN near_source OR n_factors >= 2 THEN 'high' ELSE 'medium' END AS level FROM s WHERE points >= 1""",
     "places_in_code": """
         WITH f AS (SELECT DISTINCT id, source_code, regexp_replace(enclosing_method, '\\s+', '', 'g') AS m FROM vulfile WHERE source_code IS NOT NULL AND length(trim(enclosing_method)) > 0),
@@ -211,11 +210,11 @@ ORACLE_SQL = {
         e AS (SELECT id, m, p, k, sum(length(regexp_replace(x, '\\s+', '', 'g'))) OVER (PARTITION BY id, m, p ORDER BY k) AS upto FROM (SELECT id, m, p, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM a))
         SELECT id, CASE WHEN max(p) > 0 AND m <> '' THEN (1 + count(*) FILTER (upto < p))::INT END AS start_line, CASE WHEN max(p) > 0 AND m <> '' THEN (1 + count(*) FILTER (upto < p + length(m) - 1))::INT END AS end_line FROM e GROUP BY id, m, p""",
     "needles_in_lines": f"WITH {_FILES}, n AS (SELECT unnest([{', '.join(map(_q, _NEEDLES))}]) AS needle) SELECT needle, count(*) AS n_lines, count(DISTINCT id) AS n_files FROM l JOIN n ON contains(text, needle) GROUP BY 1",
-    "sinks_near_input": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no AS source_line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, i.source_line_no FROM s JOIN i ON s.id = i.id AND i.source_line_no < s.line_no AND s.line_no - i.source_line_no < 50",
-    "input_before_sinks": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_SINK)})), i AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {_q(_INPUT)})) SELECT s.id, s.line_no, (SELECT max(i.line_no) FROM i WHERE i.id = s.id AND i.line_no < s.line_no) AS source_line FROM s",
-    "context_of_sinks": f"WITH {_FILES}, c AS (SELECT id, line_no, text, string_agg(text, chr(10)) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM l) SELECT id, line_no, context FROM c WHERE regexp_matches(text, {_q(_SINK)})",
-    "functions_of_sinks": f"WITH {_FILES}, c AS (SELECT id, line_no, text, max(CASE WHEN regexp_matches(text, {_q(_HEADER)}) THEN line_no END) OVER (PARTITION BY id ORDER BY line_no) AS function_line FROM l) SELECT id, line_no, function_line FROM c WHERE regexp_matches(text, {_q(_SINK)})",
-    "next_functions": f"WITH {_FILES}, c AS (SELECT id, line_no, text, min(CASE WHEN regexp_matches(text, {_q(_HEADER)}) THEN line_no END) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS function_line FROM l) SELECT id, line_no, function_line FROM c WHERE regexp_matches(text, '^\\s*//')",
+    "sinks_near_input": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {sqltext.SINK})), i AS (SELECT id, line_no AS source_line_no FROM l WHERE regexp_matches(text, {sqltext.INPUT})) SELECT s.id, s.line_no, i.source_line_no FROM s JOIN i ON s.id = i.id AND i.source_line_no < s.line_no AND s.line_no - i.source_line_no < 50",
+    "input_before_sinks": f"WITH {_FILES}, s AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {sqltext.SINK})), i AS (SELECT id, line_no FROM l WHERE regexp_matches(text, {sqltext.INPUT})) SELECT s.id, s.line_no, (SELECT max(i.line_no) FROM i WHERE i.id = s.id AND i.line_no < s.line_no) AS source_line FROM s",
+    "context_of_sinks": f"WITH {_FILES}, c AS (SELECT id, line_no, text, string_agg(text, chr(10)) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM l) SELECT id, line_no, context FROM c WHERE regexp_matches(text, {sqltext.SINK})",
+    "functions_of_sinks": f"WITH {_FILES}, c AS (SELECT id, line_no, text, max(CASE WHEN regexp_matches(text, {sqltext.HEADER}) THEN line_no END) OVER (PARTITION BY id ORDER BY line_no) AS function_line FROM l) SELECT id, line_no, function_line FROM c WHERE regexp_matches(text, {sqltext.SINK})",
+    "next_functions": f"WITH {_FILES}, c AS (SELECT id, line_no, text, min(CASE WHEN regexp_matches(text, {sqltext.HEADER}) THEN line_no END) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS function_line FROM l) SELECT id, line_no, function_line FROM c WHERE regexp_matches(text, '^\\s*//')",
     "complexity_of_code": f"""
         WITH {_FILES}, n AS (SELECT language, 1 + len(regexp_extract_all(content, '\\b(?:if|for|while|case|catch|elif|except|foreach)\\b|&&|\\|\\||\\?[^?:\\n]*:')) AS n FROM f WHERE content IS NOT NULL)
         SELECT language, count(*) AS n_files, sum(n)::BIGINT AS sum_ccn, max(n)::INT AS max_ccn FROM n GROUP BY 1""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import values as V
 from scanloom.operators import filters, ranking
+from scanloom.plans import sqltext
 from scanloom.sources.tables import table
 
 
@@ -185,10 +186,7 @@ _T = "(SELECT DISTINCT * FROM vuldetail)"
 _P = "(SELECT DISTINCT * FROM itemdetail)"
 
 
-def _level(col: str) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.LEVELS.items())
-    return f"coalesce(CASE lower(trim({col})) {cases} END, 'high')"
-
+_level = sqltext.level
 
 QUERIES = {f.__name__: f for f in (top_kinds, top_kinds_of_year, totals, tasks_by_month, levels_by_year, yearly_series, project_page, task_page, finding_detail, kinds_of_tasks, language_statistics, review_page, tasks_between, levels_and_states, levels_of_tasks, all_reviewed, kinds_nested, creators_top_kinds, kinds_not_listed)}
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import values as V
 from scanloom.operators import changes, graph, paths, ranking
+from scanloom.plans import sqltext
+from scanloom.plans.broadcasts import broadcast_if_small
 from scanloom.sources.tables import table
 
 
@@ -143,7 +145,7 @@ def label_centres(spark, d):
     centre = at.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("c"))
     length = centre.groupBy("label").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("length"))
     unit = centre.join(length, "label").select(F.col("label").alias("guess"), "k", (F.col("c") / F.col("length")).alias("c"))
-    score = at.join(F.broadcast(unit), "k").groupBy("vec_id", "label", "guess").agg(F.round(F.sum(F.col("x").cast("double") * F.col("c")), 9).alias("score"))
+    score = at.join(broadcast_if_small(unit), "k").groupBy("vec_id", "label", "guess").agg(F.round(F.sum(F.col("x").cast("double") * F.col("c")), 9).alias("score"))
     best = ranking.keep_first(score, ["vec_id"], [F.desc("score"), F.col("guess")])
     return best.groupBy("label").agg(F.count("*").alias("n_vectors"), F.count_if(F.col("guess") == F.col("label")).alias("n_own"))
 
@@ -151,10 +153,9 @@ def label_centres(spark, d):
 QUERIES = {f.__name__: f for f in (findings_once, best_of_place, places_spread, scan_modes, durations, sizes_of_tasks, folders_of_tasks, languages_of_files, file_statistics, complexity_of_tasks, near_median_place, spaced_places, after_deleting, reviewed_levels, real_changes, imports_clean, imports_reached, importers_of_pom, events_by_hour, label_centres)}
 
 _T = "(SELECT DISTINCT * FROM vuldetail)"
-_LEVEL = "coalesce(CASE lower(trim(risk_level)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.LEVELS.items()) + " END, 'high')"
+_LEVEL = sqltext.level("risk_level")
 _NUMBERS = "regexp_extract_all(location, '\\d+')"
 _FIRST = f"{_NUMBERS}[1]::INT"
-_SUFFIXES = " ".join(f"WHEN s IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in paths.SUFFIXES.items())
 
 ORACLE_SQL = {
     "findings_once": "SELECT id, taskid, fileid, vultype, createtime, repair_status, is_fp, remarks FROM vulfile QUALIFY row_number() OVER (PARTITION BY id ORDER BY createtime NULLS LAST, repair_status NULLS FIRST, is_fp NULLS FIRST, remarks NULLS FIRST) = 1",
@@ -178,7 +179,7 @@ ORACLE_SQL = {
         q AS (SELECT taskid, a[1:len(a) - 1] AS a FROM p), s AS (SELECT taskid, array_to_string(a[1:k], '/') AS f, k FROM q, range(0, 40) t(k) WHERE k <= len(a)),
         n AS (SELECT taskid, count(*) AS n FROM q GROUP BY 1), c AS (SELECT taskid, f, k, count(*) AS c FROM s GROUP BY 1, 2, 3)
         SELECT taskid, max_by(f, k) AS folder FROM c JOIN n USING (taskid) WHERE c = n GROUP BY 1""",
-    "languages_of_files": f"WITH s AS (SELECT fileid, lower(regexp_extract(regexp_extract(replace(filename, '\\', '/'), '[^/]*$'), '\\.([^.]+)$', 1)) AS s FROM vulfile WHERE filename IS NOT NULL) SELECT CASE {_SUFFIXES} END AS language, count(DISTINCT fileid) AS n_files, count(*) AS n_findings FROM s GROUP BY 1",
+    "languages_of_files": f"SELECT {sqltext.language('filename')} AS language, count(DISTINCT fileid) AS n_files, count(*) AS n_findings FROM vulfile WHERE filename IS NOT NULL GROUP BY 1",
     "file_statistics": """
         WITH n AS (SELECT taskid, count(DISTINCT fileid) AS n_files, sum(length(source_code) - length(replace(source_code, chr(10), '')) + 1)::BIGINT AS n_lines, sum(length(source_code))::BIGINT AS n_chars FROM (SELECT DISTINCT taskid, fileid, source_code FROM vulfile WHERE taskid IS NOT NULL AND source_code IS NOT NULL) GROUP BY 1)
         SELECT *, CASE WHEN n_chars < 1024 THEN round(n_chars::DOUBLE, 1) || ' B' WHEN n_chars < 1048576 THEN round(n_chars / 1024.0, 1) || ' KB' WHEN n_chars < 1073741824 THEN round(n_chars / 1048576.0, 1) || ' MB' ELSE round(n_chars / 1073741824.0, 1) || ' GB' END AS size FROM n""",

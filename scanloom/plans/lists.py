@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import scoring
 from scanloom.functions import values as V
 from scanloom.operators import changes, filters, graph, paths, ranking
+from scanloom.plans import sqltext
 from scanloom.sources.tables import table
 
 # Tables that people keep and the data don't have, in small.
@@ -316,13 +317,38 @@ def answers_parsed(spark, d):
     return e.groupBy("event_type").agg(F.sum("p.k").alias("sum_k"), F.count_if(F.col("p.k").isNull()).alias("n_unread"))
 
 
+def repositories_listed(spark, d):
+    """The repositories of the projects' addresses by name, as from a list that people hand over."""
+    from scanloom.sources.reports import repositories
+
+    return repositories(table(spark, d, "itemdetail"), "url").select("url", "branch", "name")
+
+
+def report_parsed(spark, d):
+    """Findings read out of cells of text as a scanner's report has them."""
+    from scanloom.sources.reports import scanner_findings
+
+    f = table(spark, d, "vulfile").filter("sink is not null and enclosing_method is not null and source is not null").select("id", "sink", "enclosing_method", "source", "filename", "location").distinct()
+    cells = f.select("id", F.format_string("%s:%s\nSink: %s\nEnclosing Method: %s\nSource: %s", "filename", F.element_at(V.lines_of(F.col("location")), 1).cast("string"), "sink", "enclosing_method", "source").alias("cell"))
+    return scanner_findings(cells, "cell").drop("cell")
+
+
+def logins_by_outcome(spark, d):
+    """Events as logins, by hour and outcome."""
+    from scanloom.sources.reports import login_outcome
+
+    status = F.when(F.col("event_type") == "click", "1").when(F.col("event_type") == "error", "0").when(F.col("event_type") == "view", "").otherwise(F.col("event_type"))
+    e = table(spark, d, "events").select(F.date_trunc("day", "ts").alias("day"), login_outcome(status).alias("o"))
+    return e.groupBy("day", F.col("o.level").alias("level"), F.col("o.outcome").alias("outcome")).agg(F.count("*").alias("n_logins"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tasks_filtered, statistics_filtered, catalogue_matching, levels_of_years_like, sanitizers_in_scope, rules_active, places_filled, kinds_real, greatest_places, first_of_line_and_source,
         kinds_in_order, spaced_reports, levels_in_order, findings_by_line, remarks_plain, code_bare, words_in_order, weaknesses_of_rules, places_repeated, overview_blocks, details_with_plan,
         project_counts, one_active, imports_replaced, changes_logged, notices_page, kept_by_importers, imports_resolved, imports_unguarded, imports_adjacent, cookies_unguarded,
-        passwords_assigned, arguments_without_local, values_read, vectors_labelled, vectors_classed, scanned_in_cascade, answers_parsed,
+        passwords_assigned, arguments_without_local, values_read, vectors_labelled, vectors_classed, scanned_in_cascade, answers_parsed, repositories_listed, report_parsed, logins_by_outcome,
     )
 }
 
@@ -338,15 +364,9 @@ _P = "(SELECT itemid, itemname, language, creator FROM (SELECT DISTINCT * FROM i
 _ONE_TASK = f"(SELECT taskid, itemid, taskname, type, code_size FROM {_T} QUALIFY row_number() OVER (PARTITION BY taskid ORDER BY itemid NULLS FIRST, taskname NULLS FIRST) = 1)"
 
 
-def _level(col: str, unknown: str = "high") -> str:
-    return f"CASE WHEN lower(trim({col})) IN ('高危', '高', 'high') THEN 'high' WHEN lower(trim({col})) IN ('中危', '中', 'medium') THEN 'medium' WHEN lower(trim({col})) IN ('低危', '低', 'low') THEN 'low' ELSE '{unknown}' END"
-
-
+_level = sqltext.level
 _LINE = "CASE WHEN regexp_matches(location, '\\d') THEN regexp_extract(location, '\\d+')::INT END"
-_LANGUAGE = """CASE lower(regexp_extract(regexp_extract(replace(filename, '\\', '/'), '[^/]*$'), '\\.([^.]+)$', 1))
-    WHEN 'java' THEN 'java' WHEN 'jsp' THEN 'java' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'cc' THEN 'cpp' WHEN 'cxx' THEN 'cpp' WHEN 'hpp' THEN 'cpp'
-    WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'javascript' WHEN 'vue' THEN 'javascript' WHEN 'php' THEN 'php'
-    WHEN 'go' THEN 'go' WHEN 'cs' THEN 'csharp' WHEN 'rb' THEN 'ruby' WHEN 'xml' THEN 'xml' END"""
+_LANGUAGE = sqltext.language("filename")
 _PATH = "regexp_replace(replace(filepath, '\\', '/'), '/+', '/', 'g')"
 _EDGES_CLEAN = "SELECT DISTINCT source_file AS src, imported_file AS dst FROM import_relation WHERE taskid IS NOT NULL AND source_file <> imported_file AND NOT suffix(imported_file, '*')"
 _BOTH_WAYS = f"e AS ({_EDGES_CLEAN}), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
@@ -360,6 +380,13 @@ def _scores(k: int) -> str:
 
 
 ORACLE_SQL = {
+    "repositories_listed": "SELECT DISTINCT trim(url) AS url, '' AS branch, regexp_replace(list_last(string_split(rtrim(trim(url), '/'), '/')), '\\.git$', '') AS name FROM itemdetail WHERE contains(lower(url), 'http') OR contains(lower(url), 'git')",
+    "report_parsed": f"""
+        SELECT DISTINCT id, filename AS file, {_LINE} AS line, trim(sink) AS sink, trim(enclosing_method) AS enclosing_method, trim(source) AS source FROM vulfile
+        WHERE sink IS NOT NULL AND enclosing_method IS NOT NULL AND source IS NOT NULL AND regexp_matches(filename, '\\.(java|c|cpp|py|php|cs|go|js|sql)$') AND regexp_matches(location, '\\d')""",
+    "logins_by_outcome": """
+        SELECT date_trunc('day', ts)::TIMESTAMP AS day, CASE event_type WHEN 'click' THEN 'info' WHEN 'view' THEN 'info' WHEN 'error' THEN 'warning' ELSE 'error' END AS level,
+        CASE event_type WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'tried' ELSE 'unknown' END AS outcome, count(*) AS n_logins FROM events GROUP BY 1, 2, 3""",
     "tasks_filtered": f"""
         SELECT taskid, taskname, itemname, starttime, high_risk FROM {_T} t LEFT JOIN {_P} p USING (itemid)
         WHERE contains(taskname, '-') AND contains(itemname, 'e') AND contains(branch, 'e') AND contains(version, 'v') AND contains(url_git, 'git') AND contains(statues, '检测')

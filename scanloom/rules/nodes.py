@@ -20,26 +20,28 @@ _TOKEN = re.compile(
     re.X | re.S,
 )
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "foreach", "elif", "else", "new", "sizeof", "throw", "function", "def", "and", "or", "not", "in", "is", "with", "assert", "except", "print"}
-SCHEMA = "node_id int, kind string, name string, qualifier string, args string, line int, method string, in_args_of int"
+SCHEMA = "node_id int, kind string, name string, qualifier string, args string, line int, method string, in_args_of int, end_line int"
 
 
 def nodes_of(code: str) -> list[tuple]:
-    """(node_id, kind, name, qualifier, args, line, method, in_args_of) of the calls, functions and strings of a text."""
+    """(node_id, kind, name, qualifier, args, line, method, in_args_of, end_line) of the calls, functions and strings of a text; end_line
+    is where the braces of a function's body close, null for all else and for bodies without braces."""
     out: list[list] = []
     line, method = 1, None
-    opened: list[tuple[str, int | None, int]] = []  # bracket, call whose arguments it holds, where it opened
+    opened: list[tuple[int | None, int, int | None, int | None]] = []  # call whose arguments it holds, where it opened, the call around, function
+    header: int | None = None  # the function whose body comes next
     before: tuple[str, str, int] | None = None
     for m in _TOKEN.finditer(code):
         kind, text = m.lastgroup, m[0]
         if kind == "line":
             line += 1
             continue
-        holder = next((c for _, c, _ in reversed(opened) if c is not None), None)
+        holder = opened[-1][2] if opened else None
         if kind == "comment":
             line += text.count("\n")
             continue
         if kind == "string":
-            out.append([len(out), "string", text[1:-1], None, None, line, method, holder])
+            out.append([len(out), "string", text[1:-1], None, None, line, method, holder, None])
             line += text.count("\n")
         elif kind == "open":
             call = None
@@ -48,10 +50,13 @@ def nodes_of(code: str) -> list[tuple]:
                 parts = re.split(r"\.|->|::", full)
                 if parts[-1] not in _WORDS:
                     call = len(out)
-                    out.append([call, "call", parts[-1], ".".join(parts[:-1]) or None, "", before[2], method, holder])
-            opened.append((text, call, m.end()))
+                    out.append([call, "call", parts[-1], ".".join(parts[:-1]) or None, "", before[2], method, holder, None])
+            body, header = (header, None) if text == "{" else (None, header)
+            opened.append((call, m.end(), holder if call is None else call, body))
         elif kind == "close" and opened:
-            _, call, start = opened.pop()
+            call, start, _, body = opened.pop()
+            if body is not None:
+                out[body][8] = line
             if call is not None:
                 out[call][4] = code[start : m.start()].strip()
                 rest = code[m.end() : m.end() + 200]
@@ -59,6 +64,7 @@ def nodes_of(code: str) -> list[tuple]:
                     out[call][1] = "function"
                     method = out[call][2]
                     out[call][6] = method
+                    header = call
         before = (kind, text, line)
     return [tuple(x) for x in out]
 
@@ -76,8 +82,8 @@ def nodes(files: DataFrame, keys: Sequence[str], text: str = "content") -> DataF
                     rows.append(i)
                     found.append(n)
             at = pa.array(rows, pa.int64())
-            columns = list(zip(*found)) if found else [[]] * 8
-            types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
+            columns = list(zip(*found)) if found else [[]] * 9
+            types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), *(pa.array(c, t) for c, t in zip(columns, types))], names=[*kept, *(f.split()[0] for f in SCHEMA.split(", "))])
 
     return files.select(*kept, text).mapInArrow(run, f"{kinds}, {SCHEMA}")

@@ -151,6 +151,9 @@ def test_calls_of_large_texts(spark, tmp_path):
 def test_nodes():
     got = N.nodes_of('void run(String a) {\n  // exec(1)\n  String s = "exec(2)" + get("x");\n  rt.exec(s);\n}')
     assert [(n[1], n[2], n[5]) for n in got if n[1] != "string"] == [("function", "run", 1), ("call", "get", 3), ("call", "exec", 4)]
+    assert [(n[2], n[5], n[8]) for n in got if n[1] == "function"] == [("run", 1, 5)]
+    two = N.nodes_of("int a() {\n if (x) {\n  f();\n }\n}\ndef b(x):\n  g()\nvoid c() { h(); }")
+    assert [(n[2], n[5], n[8]) for n in two if n[1] == "function"] == [("a", 1, 5), ("b", 6, None), ("c", 8, 8)]
     assert N.nodes_of("") == [] and N.nodes_of(')"(') == []
     assert N.nodes_of("f(" * 2000)[-1][0] == 1999
 

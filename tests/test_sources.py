@@ -12,7 +12,7 @@ def test_source_tree(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "X.java").write_bytes("﻿class X {} // 注释".encode())
     (tmp_path / "a" / "y.py").write_bytes("# 注释".encode("gbk"))
-    (tmp_path / "a" / "z.txt").write_text("no")
+    (tmp_path / "a" / "z.dat").write_text("no")
     got = {r["language"]: r["content"] for r in files.source_files(spark, str(tmp_path)).collect()}
     assert got == {"java": "class X {} // 注释", "python": "# 注释"}
     assert files.source_files(spark, str(tmp_path), ("python",)).count() == 1
@@ -38,6 +38,29 @@ def test_reports(spark, tmp_path):
     assert files.as_json(got).collect()[0][0] == '{"name":"注入","level":"高危"}'
 
 
+def test_lists_reports_and_graphs(spark, tmp_path):
+    from scanloom.sources import reports
+
+    rows = spark.createDataFrame([(" https://h/x/tool.git ", "main"), ("git@h:x/lib.git", None), ("note", "b"), (None, "b"), ("http://h/x/app/", ""), ("http://h/x/app/", "")], "u string, b string")
+    assert sorted(map(tuple, reports.repositories(rows, "u", "b").collect())) == [("git@h:x/lib.git", "", "lib"), ("http://h/x/app/", "", "app"), ("https://h/x/tool.git", "main", "tool")]
+    cells = spark.createDataFrame([(1, "src/A.java:12\nSink: exec()\nEnclosing Method: run\nSource: getParameter"), (2, "b.py:7"), (3, "no place"), (4, None)], "id int, t string")
+    got = reports.scanner_findings(cells, "t").select("id", "file", "line", "sink", "enclosing_method", "source")
+    assert sorted(map(tuple, got.collect())) == [(1, "src/A.java", 12, "exec()", "run", "getParameter"), (2, "b.py", 7, "", "", "")]
+    (tmp_path / "n.csv").write_text(':ID,:LABEL,NAME,CODE\n1,CALL,f,"f(""a"",\nb)"\n2,LOCAL,x,\n,LOCAL,y,\n')
+    (tmp_path / "e.csv").write_text(":START_ID,:END_ID,:TYPE\n1,2,AST\nx,2,AST\n")
+    nodes, edges = reports.property_graph(spark, str(tmp_path / "n.csv"), str(tmp_path / "e.csv"))
+    assert sorted(tuple(r) for r in nodes.select("id", "label", "name", "code", "line").collect()) == [(1, "CALL", "f", 'f("a",\nb)', None), (2, "LOCAL", "x", None, None)]
+    assert [tuple(r) for r in edges.collect()] == [(1, 2, "AST")]
+
+
+def test_findings_written_by_task(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5, "a"), (2, 6, "b"), (3, None, "c")], "id int, taskid int, t string")
+    for _ in range(2):
+        files.write_findings(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 6 and back.filter("taskid = 5").select("id", "t").distinct().collect() == [(1, "a")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     batch = spark.createDataFrame([(1, "2024-01-01 00:10:00", "a", 1.0), (2, "2024-01-01 00:50:00", "a", 2.0), (3, "2024-01-01 01:10:00", "b", 3.0)], "event_id long, ts string, event_type string, value double").selectExpr("event_id", "cast(ts as timestamp) ts", "event_type", "value")
     batch.write.parquet(str(tmp_path / "in"))
