@@ -176,6 +176,24 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT id, min(id) OVER (PARTITION BY kind, source_code) AS class_id FROM c),
         n AS (SELECT id, count(*) AS n FROM (SELECT id_a AS id FROM pairs UNION ALL SELECT id_b FROM pairs) GROUP BY id)
         SELECT k.id, k.class_id, coalesce(n.n, 0)::BIGINT AS n_links FROM k LEFT JOIN n ON n.id = k.id""",
+    "p5_bisect": r"""
+        WITH RECURSIVE src AS (SELECT DISTINCT id, source_code AS t FROM vulfile WHERE length(source_code) > 2000),
+        lines AS (SELECT id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM src),
+        line_ends AS (SELECT id, x, k, sum(length(x) + 1) OVER (PARTITION BY id ORDER BY k)::BIGINT AS p, max(k) OVER (PARTITION BY id) AS last FROM lines),
+        gaps AS (SELECT id, unnest(regexp_split_to_array(t, '[ \t]')) AS x, generate_subscripts(regexp_split_to_array(t, '[ \t]'), 1) AS k FROM src),
+        gap_ends AS (SELECT id, k, sum(length(x) + 1) OVER (PARTITION BY id ORDER BY k)::BIGINT AS p, max(k) OVER (PARTITION BY id) AS last FROM gaps),
+        marks AS (
+            SELECT id, length(t)::BIGINT AS n, (SELECT coalesce(list(p), []) FROM line_ends l WHERE l.id = src.id AND k > 1 AND k < last AND regexp_matches(x, '^[ \t\r]*$')) AS blank,
+                (SELECT coalesce(list(p), []) FROM line_ends l WHERE l.id = src.id AND k < last) AS feed, (SELECT coalesce(list(p), []) FROM gap_ends g WHERE g.id = src.id AND k < last) AS gap FROM src),
+        part AS (
+            SELECT id, 0::BIGINT AS a, n AS b FROM marks
+            UNION ALL
+            SELECT id, unnest([a, c]) AS a, unnest([c, b]) AS b FROM (
+                SELECT id, a, b, coalesce(
+                    list_sort([{'d': abs(p - mid), 'p': p} FOR p IN blank IF p > mid - q AND p < mid + q])[1].p, list_sort([{'d': abs(p - mid), 'p': p} FOR p IN feed IF p > mid - q AND p < mid + q])[1].p,
+                    list_sort([{'d': abs(p - mid), 'p': p} FOR p IN gap IF p > mid - q AND p < mid + q])[1].p, mid) AS c
+                FROM (SELECT part.id, a, b, (a + b) // 2 AS mid, (b - a) // 4 AS q, blank, feed, gap FROM part JOIN marks ON marks.id = part.id WHERE b - a > 1800)))
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY a)::INT AS piece_no, greatest(0, a - 200)::INT AS start_pos, b::INT AS end_pos FROM part WHERE b - a <= 1800""",
     "p5_found": r"""
         WITH RECURSIVE src AS (SELECT DISTINCT id, source_code AS t, length(source_code) AS n FROM vulfile WHERE length(source_code) > 2000),
         piece AS (
