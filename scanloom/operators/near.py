@@ -62,10 +62,22 @@ def lines_with_needles(lines: DataFrame, text: str, needles: DataFrame, needle:
     return lines.filter(hit).join(F.broadcast(needles.filter(F.length(needle) > 0)), F.col(text).contains(F.col(needle)))
 
 
-@F.pandas_udf(T.DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The share of characters in common blocks of two texts, as difflib counts it; 0 if either is null."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
+def likeness(left: Column, right: Column, least: float = 0.0) -> Column:
+    """The share of characters in common blocks of two texts, as difflib counts it; 0 if either is null or if the signs that
+    they have in common, in whatever order, make it less than `least`."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, match = [], difflib.SequenceMatcher(None, autojunk=False)
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(0.0)
+                continue
+            match.set_seqs(x, y)
+            out.append(match.ratio() if match.quick_ratio() >= least else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return run(left, right)
 
 
 def likest_lines(lines: DataFrame, wanted: DataFrame, keys: Sequence[str], text: str, least: float = 0.5) -> DataFrame:
@@ -78,7 +90,7 @@ def likest_lines(lines: DataFrame, wanted: DataFrame, keys: Sequence[str], text:
     on = (2 * F.least(n, m) >= F.lit(least) * (n + m)) & (n > 0)
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    pairs = a.join(b, on).select("a.*", "wanted").withColumn("likeness", likeness(F.trim(text), F.trim("wanted")))
+    pairs = a.join(b, on).select("a.*", "wanted").withColumn("likeness", likeness(F.trim(text), F.trim("wanted"), least))
     best = Window.partitionBy(*keys, "wanted")
     return pairs.filter(F.col("likeness") >= least).withColumn("best", F.max("likeness").over(best)).filter(F.col("likeness") == F.col("best")).drop("best")
 

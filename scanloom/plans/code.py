@@ -110,10 +110,11 @@ def places_in_code(spark, d):
 
 
 def likest_lines(spark, d):
-    """The lines of a finding's code that are likest to its repaired code, from a likeness of 0.3 on."""
-    f = table(spark, d, "vulfile").filter("id is not null and length(trim(repair_code)) > 0").select("id", F.trim("repair_code").alias("text")).distinct()
-    found = near.likest_lines(_lines(spark, d).select("id", "line_no", F.trim("text").alias("text")).filter("text <> ''"), f, ["id"], "text", 0.3)
-    return found.select("id", "line_no", F.round("likeness", 6).alias("likeness"))
+    """For each line of a finding's repaired code the lines of its code that are likest to it, from a likeness of 0.5 on."""
+    f = table(spark, d, "vulfile").filter("id is not null and length(trim(repair_code)) > 0").select("id", F.explode(F.split("repair_code", line_rules.LINE_END)).alias("text"))
+    f = f.select("id", F.trim("text").alias("text")).filter("text <> ''").distinct()
+    found = near.likest_lines(_lines(spark, d).select("id", "line_no", F.trim("text").alias("text")).filter("text <> ''"), f, ["id"], "text", 0.5)
+    return found.select("id", "line_no", "wanted", F.round("likeness", 6).alias("likeness"))
 
 
 def complexity_of_code(spark, d):
