@@ -9,7 +9,7 @@ from scanloom.functions import values as V
 from scanloom.operators import graph, near, paths, ranking
 from scanloom.plans import sqltext
 from scanloom.plans.spread import spread
-from scanloom.rules import factors
+from scanloom.rules import factors, flow
 from scanloom.rules import lines as line_rules
 from scanloom.rules import nodes as node_rules
 from scanloom.rules.catalogue import RULES
@@ -17,6 +17,8 @@ from scanloom.sources.tables import table
 
 _INPUT = r"getParameter|argv|getenv|request\.|req\.|\$_GET|\$_POST|\$_COOKIE|scanf|recv\("
 _SINK = r"\bsystem\(|\bexec\(|executeQuery|\.execute\(|mysqli_query|sendRedirect|\bpopen\(|\beval\("
+_ANY_CALL = r"=.*\("
+_CLEANERS = ("request", "cursor", "getParameter", "htmlspecialchars", "basename")
 #: Factors of risk on a line: what it looks like, and its points.
 _FACTORS = {"joined": (r"\+|\.format\(|%s", 1), "signs": (r"[;|&`$]\s*[a-z\"']", 1), "input": (r"(?i)input|param|arg|query", 2), "shell": (r"(?i)\bsh\b|/bin/|cmd\.exe", 2)}
 _HEADER = r"^\s*(?:public|private|protected|static|def|function|int|void|bool|char|struct|async)\b[^;=]*\("
@@ -63,6 +65,18 @@ def sinks_scored(spark, d):
     return found.select("id", "line_no", "n_factors", "points", "near_source", "level")
 
 
+def tainted_lines(spark, d):
+    """Dangerous calls with a name that was given data from outside fewer than 50 lines before."""
+    return flow.assigned(_lines(spark, d).select("id", "line_no", "text"), ["id"], _INPUT, _SINK, 50)
+
+
+def uncleaned_lines(spark, d):
+    """The same without names that one of a list of functions cleans in between."""
+    lines = _lines(spark, d).select("id", "line_no", "text")
+    cleaners = spark.createDataFrame([(x,) for x in _CLEANERS], "function string")
+    return flow.uncleaned(flow.assigned(lines, ["id"], _ANY_CALL, _SINK, 50), lines, ["id"], cleaners)
+
+
 def needles_in_lines(spark, d):
     """Lines that hold one of a list of texts, each text's lines and files counted."""
     needles = spark.createDataFrame([(n,) for n in _NEEDLES], "needle string")
@@ -165,7 +179,7 @@ def unguarded_calls(spark, d):
     return found.groupBy("name").agg(F.count("*").alias("n_calls"), F.countDistinct("source_file").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (rule_findings, rule_findings_finished, sinks_scored, needles_in_lines, sinks_near_input, input_before_sinks, context_of_sinks, functions_of_sinks, next_functions, places_in_code, likest_lines, complexity_of_code, calls, tainted_calls, unguarded_calls)}
+QUERIES = {f.__name__: f for f in (rule_findings, rule_findings_finished, sinks_scored, tainted_lines, uncleaned_lines, needles_in_lines, sinks_near_input, input_before_sinks, context_of_sinks, functions_of_sinks, next_functions, places_in_code, likest_lines, complexity_of_code, calls, tainted_calls, unguarded_calls)}
 
 
 def _q(text: str) -> str:
@@ -192,6 +206,11 @@ _FOUND = " UNION ALL ".join(
 _SCORED = " + ".join(f"regexp_matches(text, {_q(p)})::INT" for p, _ in _FACTORS.values())
 _POINTS = " + ".join(f"{k} * regexp_matches(text, {_q(p)})::INT" for p, k in _FACTORS.values())
 
+_FLOWS = f"""{_FILES},
+    s AS (SELECT id, line_no AS source_line, regexp_extract(text, '([A-Za-z_$][A-Za-z0-9_$]*)\\s*:?=[^=]', 1) AS name FROM l WHERE regexp_matches(text, {{source}})),
+    t AS (SELECT DISTINCT id, line_no, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM l WHERE regexp_matches(text, {sqltext.SINK})),
+    flows AS (SELECT DISTINCT s.id, s.name, source_line, line_no FROM s JOIN t ON s.id = t.id AND s.name = t.name AND source_line < line_no AND line_no - source_line < 50 WHERE s.name <> '')"""
+
 ORACLE_SQL = {
     "rule_findings": f"WITH {_AROUND} SELECT id, line_no, rule_id, kind, cwe FROM ({_FOUND})",
     "rule_findings_finished": f"""
@@ -205,6 +224,10 @@ ORACLE_SQL = {
         WITH {_FILES}, w AS (SELECT id, line_no, text, bool_or(regexp_matches(text, {sqltext.INPUT})) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS near_source FROM l WHERE language IS NOT NULL),
         s AS (SELECT id, line_no, ({_SCORED} + near_source::INT)::INT AS n_factors, ({_POINTS} + 2 * near_source::INT)::INT AS points, near_source FROM w WHERE regexp_matches(text, {sqltext.SINK}))
         SELECT *, CASE WHEN near_source OR n_factors >= 2 THEN 'high' ELSE 'medium' END AS level FROM s WHERE points >= 1""",
+    "tainted_lines": f"WITH {_FLOWS.format(source=sqltext.INPUT)} SELECT * FROM flows",
+    "uncleaned_lines": f"""
+        WITH {_FLOWS.format(source="'=.*\\('")}, c AS (SELECT id, line_no, text FROM l WHERE len(list_intersect(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'), ['request', 'cursor', 'getParameter', 'htmlspecialchars', 'basename'])) > 0)
+        SELECT * FROM flows f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = f.id AND c.line_no > f.source_line AND c.line_no <= f.line_no AND list_contains(regexp_extract_all(c.text, '[A-Za-z_$][A-Za-z0-9_$]*'), f.name))""",
     "places_in_code": """
         WITH f AS (SELECT DISTINCT id, source_code, regexp_replace(enclosing_method, '\\s+', '', 'g') AS m FROM vulfile WHERE source_code IS NOT NULL AND length(trim(enclosing_method)) > 0),
         a AS (SELECT id, m, strpos(regexp_replace(source_code, '\\s+', '', 'g'), m) AS p, string_split(replace(replace(source_code, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS t FROM f),

@@ -26,6 +26,11 @@ def lines_of_files(files: DataFrame, keys: Sequence[str], text: str = "content")
     return files.filter(F.col(text).isNotNull()).select(*keys, "language", F.posexplode(F.split(F.col(text), LINE_END)).alias("pos", "text")).select(*keys, "language", (F.col("pos") + 1).alias("line_no"), "text")
 
 
+def _quoted(text: str) -> str:
+    """A text as a literal of an expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _any_sink(rules: Sequence[Rule], text: Column) -> Column:
     by: dict[str, list[str]] = {}
     for r in rules:
@@ -52,15 +57,16 @@ def findings(files: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = RULE
     # explode would make Spark check each list first, and so build it twice.
     hit = rows.select(*keys, "language", "all", F.explode_outer(sinks).alias("i")).filter("i is not null")
     marked = hit.select(*keys, "language", (F.col("i") + 1).alias("line_no"), F.get("all", F.col("i")).alias("text"), *near, around_line(F.col("i"), around, around).alias("about"))
-    # Patterns as literals, each compiled once; a pattern that comes from a row would be compiled for every row.
+    # Patterns as literals, each compiled once; a pattern that comes from a row would be compiled for every row. As one text, since
+    # thousands of calls into the JVM take seconds.
     hits = [
-        F.when(
-            (F.col("language") == r.language) & F.col("text").rlike(r.sink) & (F.col(f"before_{max(1, r.within)}").rlike(r.source) if r.source else F.lit(True)) & (~F.col("about").rlike(r.safe) if r.safe else F.lit(True)),
-            F.lit(r.rule_id),
-        )
+        f"CASE WHEN language = {_quoted(r.language)} AND text RLIKE {_quoted(r.sink)}"
+        + (f" AND before_{max(1, r.within)} RLIKE {_quoted(r.source)}" if r.source else "")
+        + (f" AND NOT about RLIKE {_quoted(r.safe)}" if r.safe else "")
+        + f" THEN {_quoted(r.rule_id)} END"
         for r in rules
     ]
-    found = marked.select(*keys, "language", "line_no", "text", F.explode_outer(F.array_compact(F.array(*hits))).alias("rule_id")).filter("rule_id is not null")
+    found = marked.select(*keys, "language", "line_no", "text", F.explode_outer(F.expr(f"array_compact(array({', '.join(hits)}))")).alias("rule_id")).filter("rule_id is not null")
     table = files.sparkSession.createDataFrame([(r.rule_id, r.kind, r.level, r.cwe) for r in rules], "rule_id string, kind string, level string, cwe string")
     return found.join(F.broadcast(table), "rule_id").select(*keys, "language", "line_no", "rule_id", "kind", "level", "cwe", "text")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import scoring
 from scanloom.functions import values as V
 from scanloom.operators import changes, filters, graph, ranking
-from scanloom.rules import factors, registry
+from scanloom.rules import factors, flow, registry
 from scanloom.rules import lines as L
 
 
@@ -73,6 +73,15 @@ def test_factors(spark):
     assert rows(got, "line_no") == [(1, 3, 3, 5, True, "high"), (1, 65, 1, 1, False, "medium")]
 
 
+def test_flow_through_assignments(spark):
+    text = "a = input()\nb = input()\nc == input()\nb = clean(b)\nsystem(a)\nsystem(b + ab)\nsystem(c)\n" + "x\n" * 60 + "system(a)"
+    lines = L.lines_of_files(spark.createDataFrame([(1, "python", text), (2, "python", "system(a)")], "id int, language string, content string"), ["id"])
+    flows = flow.assigned(lines, ["id"], r"input\(", r"system\(", 50)
+    assert rows(flows, "line_no") == [(1, "a", 1, 5), (1, "b", 2, 6)]
+    assert rows(flow.uncleaned(flows, lines, ["id"], spark.createDataFrame([("clean",), (None,)], "function string"))) == [(1, "a", 1, 5)]
+    assert flow.uncleaned(flows, lines, ["id"], spark.createDataFrame([], "function string")).count() == 2
+
+
 def test_rules_by_name_with_errors_apart(spark):
     @registry.rule("count")
     def count(code, language):
