@@ -215,7 +215,7 @@ class Classifier:
         return np.where(many > 0, total / np.maximum(many, 1), 0.0) + self.bias
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, held: np.ndarray, epochs: int = 12, penalty: float = 2e-5, seed: int = 7) -> Classifier:
+def fit(features: list[np.ndarray], labels: np.ndarray, held: np.ndarray, epochs: int = 6, penalty: float = 2e-5, seed: int = 7) -> Classifier:
     """Hinge loss by averaged stochastic steps, both classes of equal weight; low and high from the held-out rows."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -312,7 +312,7 @@ def train(rows: DataFrame, libraries: tuple[str, ...], repos: DataFrame | None =
     use = np.flatnonzero(body | none)
     of_text = fit([text_features(got["text"].iloc[i] or "") for i in use], body[use], held[use])
     lines = [(plain, bool(_HEADER.search(raw)), held[i]) for i in np.flatnonzero(head | none) for raw, plain in remarks(got["text"].iloc[i] or "", names)]
-    of_line = fit([line_features(x) for x, _, _ in lines], np.array([x[1] for x in lines], bool), np.array([x[2] for x in lines], bool), epochs=6)
+    of_line = fit([line_features(x) for x, _, _ in lines], np.array([x[1] for x in lines], bool), np.array([x[2] for x in lines], bool))
     of_line.sizes = _LINE_SIZES
     return of_path, of_text, of_line
 
