@@ -26,8 +26,8 @@ _NEEDLES = ("getenv", "strcpy", "sendRedirect", "cursor.execute", "mysqli_query"
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """One text of code for each finding, with the language of its file."""
-    f = ranking.keep_first(table(spark, d, "vulfile").select("id", "filename", "source_code").filter("id is not null"), ["id"], [F.col("filename"), F.col("source_code")])
+    """One text of code for each finding, with the language of its file; texts are no key of the sort, as copies have one text."""
+    f = ranking.keep_first(table(spark, d, "vulfile").select("id", "filename", "source_code").filter("id is not null"), ["id"], [F.col("filename"), F.xxhash64("source_code")])
     return f.select("id", "filename", paths.language_of(F.col("filename")).alias("language"), F.col("source_code").alias("content"))
 
 

@@ -20,6 +20,8 @@ _TOKEN = re.compile(
     re.X | re.S,
 )
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "foreach", "elif", "else", "new", "sizeof", "throw", "function", "def", "and", "or", "not", "in", "is", "with", "assert", "except", "print"}
+#: What comes between the parameters of a function and its body.
+_BODY = re.compile(r"\s*(?:throws [\w., ]+)?\s*(?:const\s*)?[{:]")
 SCHEMA = "node_id int, kind string, name string, qualifier string, args string, line int, method string, in_args_of int, end_line int"
 
 
@@ -59,8 +61,7 @@ def nodes_of(code: str) -> list[tuple]:
                 out[body][8] = line
             if call is not None:
                 out[call][4] = code[start : m.start()].strip()
-                rest = code[m.end() : m.end() + 200]
-                if re.match(r"\s*(?:throws [\w., ]+|const|noexcept|:\s*\w+|->\s*\w+)?\s*[{:]", rest) and not out[call][3] and re.match(r"\s*(?:throws [\w., ]+)?\s*(?:const\s*)?[{:]", rest):
+                if not out[call][3] and _BODY.match(code, m.end()):
                     out[call][1] = "function"
                     method = out[call][2]
                     out[call][6] = method
