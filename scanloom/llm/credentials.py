@@ -25,10 +25,8 @@ from scanloom.plans.spread import spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A value of fewer characters for each subword than this is unnatural; words and phrases have 4 and more.
 UNNATURAL = 3.2
-#: Strings shorter than this say nothing without a context.
-ALONE = 16
-#: Strings whose measure a worker keeps; when there are more, it starts anew. Bears on speed only.
-KEPT_STRINGS = 1 << 18
+#: Strings of up to so many signs whose measure a worker keeps, the last used. Bears on speed and memory only.
+KEPT_STRINGS, KEPT_SIGNS = 1 << 18, 64
 
 # --- how a value looks -------------------------------------------------------
 
@@ -46,19 +44,25 @@ def _encoder(path: str):
 _SPELT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+|\d+")
 
 
-@lru_cache(maxsize=KEPT_STRINGS)
 def chars_per_subword(value: str, vocabulary: str = VOCABULARY) -> float:
     """How many letters and figures a subword of the vocabulary covers on average; 0 for a value without any.
 
     The words of a name are read as they stand in a sentence, in lower case after a blank, so that neither the joints
     of getUserName and USER_NAME nor capitals make them look odd.
     """
+    return (_kept if len(value) <= KEPT_SIGNS else _measured)(value, vocabulary)
+
+
+def _measured(value: str, vocabulary: str) -> float:
     parts = _SPELT.findall(value)
     if not parts:
         return 0.0
     return sum(map(len, parts)) / len(_encoder(vocabulary).encode_ordinary(" " + " ".join(parts).lower()))
 
 
+_kept = lru_cache(maxsize=KEPT_STRINGS)(_measured)
+
+
 def unnatural(value: str, vocabulary: str = VOCABULARY) -> bool:
     """Fewer characters for each subword than UNNATURAL; words that are one subword each, such as short ones, are natural."""
     if chars_per_subword(value, vocabulary) >= UNNATURAL:
